@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import op1_telephony, op7_chat, op9_decontaminate, op10_licenses
+from . import op1_telephony, op6_substrings, op7_chat, op9_decontaminate, op10_licenses
 
 QUERIES = {
     "op1_telephony": op1_telephony.op1_telephony,
+    "op6_substrings": op6_substrings.op6_substrings,
     "op7_chat": op7_chat.op7_chat,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
     "op10_licenses": op10_licenses.op10_licenses,
@@ -13,6 +14,7 @@ QUERIES = {
 
 #: Those that SQL can express; tests/llm hold the others against brute force.
 SQL = {
+    "op6_substrings": op6_substrings.OP6_SQL,
     "op7_chat": op7_chat.OP7_SQL,
     "op9_decontaminate": op9_decontaminate.OP9_SQL,
 }
