@@ -26,8 +26,8 @@ from .common import arrow_schema, bounded_batches, table, utf8
 WINDOW = 20
 #: Pairing rounds whose symbols are chosen from for a window; four leave some inside nearly every 20 words.
 LOW_ROUNDS = 4
-#: Rounds of runs and pairs to the symbols that stand for long repeats, of about 30 words on average.
-HIGH_ROUNDS = 12
+#: After these rounds of runs and pairs, symbols stand for long repeats: of about 30, 75 and 180 words on average.
+HIGH_ROUNDS = (12, 15, 18)
 #: Bytes of text that are worked on at once.
 GROUP_BYTES = 2 << 20
 
@@ -79,16 +79,23 @@ class Parse:
     def _run(self, last: np.ndarray) -> None:
         sym, start, low, high = self.words, np.arange(self.n), self.at, self.at + self.window
         self.levels = [(sym, start, low, high)]
-        for r in range(HIGH_ROUNDS):
+        highs = []
+        for r in range(HIGH_ROUNDS[-1]):
             if r >= LOW_ROUNDS:
                 sym, start, last = self._runs(sym, start, last)
                 low = high = None
             sym, start, last, low, high = self._pairs(sym, start, last, r, low, high)
             if r < LOW_ROUNDS:
                 self.levels.append((sym, start, low, high))
-        size = np.diff(np.append(start, self.n))
-        long = size >= self.window
-        self.high, self.high_at, self.high_size = sym[long], start[long], size[long]
+            if r + 1 in HIGH_ROUNDS:
+                size = np.diff(np.append(start, self.n))
+                long = size >= self.window
+                highs.append((sym[long], start[long], size[long]))
+        sym, start, size = (np.concatenate(x) for x in zip(*highs, strict=True))
+        # A symbol that no later round touched stands once in the list, and in each level by its number there.
+        _, one, number = np.unique(mix(sym + start.astype(U) * _C3), return_index=True, return_inverse=True)
+        self.high, self.high_at, self.high_size = sym[one], start[one], size[one]
+        self.high_levels = np.split(number, np.cumsum([h[0].size for h in highs])[:-1])
 
     @staticmethod
     def _pairs(sym, start, last, r, low, high):
@@ -170,10 +177,11 @@ def member(doc: np.ndarray, key: np.ndarray, lists: tuple[np.ndarray, np.ndarray
     return np.isin(salt(doc, key), salt(known_doc, known))
 
 
-def first_of(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether an entry is the first with its document and key."""
+def first_of(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether an entry is the first in its text with its document and key."""
     out = np.zeros(key.size, dtype=bool)
-    out[np.unique(mix(key + doc.astype(U) * _C3), return_index=True)[1]] = True
+    order = np.argsort(at, kind="stable")
+    out[order[np.unique(mix(key + doc.astype(U) * _C3)[order], return_index=True)[1]]] = True
     return out
 
 
@@ -232,12 +240,14 @@ def _open_windows(p: Parse, known) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """(starts, fingerprints of the windows that may repeat; which words stand in a high symbol that occurs earlier)."""
     high, proof = p.high_names()
     of = p.doc[p.high_at]
-    repeat = ~(member(of, high ^ proof, known) & first_of(of, high ^ proof))
+    repeat = ~(member(of, high ^ proof, known) & first_of(of, high ^ proof, p.high_at))
     count = lambda where: np.cumsum(np.bincount(where, minlength=p.n + 1))[: p.n]
-    begun, ended = count(p.high_at[repeat]), count(p.high_at[repeat] + p.high_size[repeat])
-    covered = begun > ended
-    tail = p.at + p.window - 1
-    whole = covered[p.at] & covered[tail] & (begun[p.at] == begun[tail])
+    covered, whole, tail = np.zeros(p.n, dtype=bool), np.zeros(p.at.size, dtype=bool), p.at + p.window - 1
+    for level in p.high_levels:  # symbols of one level don't overlap
+        k = level[repeat[level]]
+        begun, ended = count(p.high_at[k]), count(p.high_at[k] + p.high_size[k])
+        covered |= begun > ended
+        whole |= (begun > ended)[p.at] & (ended[p.at] == ended[tail]) & (begun[p.at] == begun[tail])
     name, _ = p.chosen()
     open_ = ~whole & ~member(p.doc[p.at], name, known)
     at = p.at[open_]
@@ -249,7 +259,7 @@ def _windows(window: int):
 
     def run(batches):
         for batch in batches:
-            for ids, _, docs, (known,) in _groups(batch):
+            for ids, _, docs, (known,) in _groups(batch.drop_columns(["key"])):
                 p = Parse(docs, window)
                 if not p.at.size:
                     continue
@@ -271,7 +281,7 @@ def _kept(window: int, ddl: str):
                 if p.at.size:
                     at, a, b, gone = _open_windows(p, known)
                     of, k = p.doc[at], a ^ b
-                    repeat = at[~(member(of, k, firsts) & first_of(of, k))]
+                    repeat = at[~(member(of, k, firsts) & first_of(of, k, at))]
                     edge = np.bincount(repeat, minlength=p.n + 1) - np.bincount(repeat + window, minlength=p.n + 1)
                     gone = gone | (np.cumsum(edge)[: p.n] > 0)
                 kept, counts = [], []
@@ -303,7 +313,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     known = own(rows.select("d", "t").mapInArrow(_symbols(window), _SYMBOLS), "b <> 0 OR n = 1")
     none = F.array().cast("array<bigint>")
     held = rows.join(known, "d", "left").select("d", "t", F.coalesce("k", none).alias("known"), "key")
-    firsts = own(held.select("d", "t", "known").mapInArrow(_windows(window), _SYMBOLS), "true")
+    firsts = own(held.mapInArrow(_windows(window), _SYMBOLS), "true")  # with all columns of held: both then read one exchange
     out = f"`{key}` {df.schema[key].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
     both = held.join(firsts, "d", "left").select("d", "t", "known", F.coalesce("k", none).alias("firsts"), "key")
     return both.mapInArrow(_kept(window, out), out)
