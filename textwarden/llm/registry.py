@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op1_telephony, op6_substrings, op7_chat, op9_decontaminate, op10_licenses
+from . import op1_telephony, op6_substrings, op7_chat, op8_toxicity, op9_decontaminate, op10_licenses
 
 QUERIES = {
     "op1_telephony": op1_telephony.op1_telephony,
     "op6_substrings": op6_substrings.op6_substrings,
     "op7_chat": op7_chat.op7_chat,
+    "op8_toxicity": op8_toxicity.op8_toxicity,
     "op9_decontaminate": op9_decontaminate.op9_decontaminate,
     "op10_licenses": op10_licenses.op10_licenses,
 }
