@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_telephony, op2_lines, op4_packing, op5_html, op6_substrings, op7_chat, op8_toxicity, op9_decontaminate, op10_licenses
+from . import op1_telephony, op2_lines, op3_bagminhash, op4_packing, op5_html, op6_substrings, op7_chat, op8_toxicity, op9_decontaminate, op10_licenses
 
 QUERIES = {
     "op1_telephony": op1_telephony.op1_telephony,
     "op2_lines": op2_lines.op2_lines,
+    "op3_bagminhash": op3_bagminhash.op3_bagminhash,
     "op4_packing": op4_packing.op4_packing,
     "op5_html": op5_html.op5_html,
     "op6_substrings": op6_substrings.op6_substrings,
