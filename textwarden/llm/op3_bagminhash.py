@@ -236,7 +236,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 def first_of_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each class's smallest key, and all rows of a null key; all columns stay."""
     found = near_duplicates(df, key, text)
-    gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
+    gone = checkpointed(found.where(F.col(f"`{key}`") != F.col("class_id")).select(F.col(f"`{key}`").alias("_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     return df.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
 
 
