@@ -38,12 +38,13 @@ def check_domain(url: Column, allow: list[str], strict: bool = False) -> Column:
 
 
 def allowed_by_table(df: DataFrame, url: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """Rows of ``df`` whose host an allow-list table allows; all columns stay.  Equi-joins on the host and its parents."""
-    name = host(F.col(url))
-    parts = F.split(name, r"\.")
-    parents = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.concat(F.lit("*."), F.array_join(F.slice(parts, k, F.size(parts)), ".")))
-    keys = F.array_distinct(F.concat(F.array(name, F.lit("*")), parents))
+    """Rows of ``df`` whose host an allow-list table allows; all columns stay.
+
+    Each distinct host, with its parents, meets the list in equi-joins; the rows then meet the allowed hosts."""
+    hosts = df.select(host(F.coalesce(F.col(url), F.lit(""))).alias("_host")).where("_host <> ''").distinct()
+    parts = F.split("_host", r"\.")
+    parents = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: F.concat(F.lit("*."), F.array_join(F.slice(parts, k, F.size(parts)), ".")))).otherwise(none_of("string"))
+    keys = F.array_distinct(F.concat(F.array("_host", F.lit("*")), parents))
     listed = patterns.select(F.lower(F.col(pattern)).alias("_p")).distinct()
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    hits = rows.select("_row", F.explode(keys).alias("_p")).join(listed, "_p", "left_semi").select("_row").distinct()
-    return rows.join(hits, "_row", "left_semi").drop("_row")
+    good = hosts.select("_host", F.explode(keys).alias("_p")).join(listed, "_p", "left_semi").select("_host").distinct()
+    return df.withColumn("_host", host(F.coalesce(F.col(url), F.lit("")))).join(good, "_host", "left_semi").drop("_host")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions.dialect import to_java, to_python
-from ..functions.text import capped, contains_any, count_contains, entropy, found, matches, none_of, trimmed
+from ..functions.text import capped, contains_any, count_contains, entropy, found, let, matches, none_of, trimmed
 from .scanners import AWS_CONTEXT, AWS_SECRET, AWS_WINDOW, SECRET_ASSIGNMENT, SECRET_PREFIXES
 from .domain import host
 from .scoring import SAFE_REASON, blocked, risk, safe
@@ -96,16 +96,15 @@ def url_risk(url: Column) -> Column:
     """struct(url, high, medium, low, kinds) of one URL; documentation and well-known hosts have no risk."""
     low = F.lower(url)
     name = host(F.when(url.contains("://"), url).otherwise(F.concat(F.lit("http://"), url)))
-    known = reduce(lambda a, d: a | (name == d) | name.endswith("." + d), [*EXAMPLE_DOMAINS, *lex.URL_SAFE_DOMAINS], F.lit(False))
+    known = let(name, lambda n: reduce(lambda a, d: a | (n == d) | n.endswith("." + d), [*EXAMPLE_DOMAINS, *lex.URL_SAFE_DOMAINS], F.lit(False)))
     values = F.transform(F.split(F.regexp_extract(low, r"\?([^#]*)", 1), "&"), lambda p: F.coalesce(F.try_url_decode(F.regexp_extract(p, r"(?s)=(.*)", 1)), F.lit("")))
-    port = F.regexp_extract(low, to_java(PORT), 1)
     kinds = {
         "high": [
             ("ip-url", matches(low, IP_URL)),
             ("data-exfiltration", matches(low, DATA_URL)),
             ("high-entropy-query", F.exists(values, lambda v: (F.octet_length(v) >= 20) & (entropy(v) > 4.5))),
             ("tunnel-service", contains_any(low, lex.URL_TUNNELS)),
-            ("non-standard-port", (port != "") & ~port.isin(*lex.URL_SAFE_PORTS)),
+            ("non-standard-port", let(F.regexp_extract(low, to_java(PORT), 1), lambda p: (p != "") & ~p.isin(*lex.URL_SAFE_PORTS))),
         ],
         "medium": [
             ("suspicious-tld", contains_any(low, lex.URL_TLDS)),
@@ -115,44 +114,54 @@ def url_risk(url: Column) -> Column:
         ],
         "low": [("data-query", contains_any(low, lex.URL_QUERY_HINTS))],
     }
-    live = F.octet_length(name) >= 0
-    count = lambda n: F.when(known & live, 0).otherwise(reduce(add, [c.cast("int") for _, c in kinds[n]]))
-    named = F.filter(F.array(*[F.when(c & ~known, F.lit(k)) for xs in kinds.values() for k, c in xs]), lambda x: x.isNotNull())
-    return F.struct(url.alias("url"), *[count(n).alias(n) for n in kinds], F.array_sort(named).alias("kinds"))
+    present = F.filter(F.array(*[F.when(c, F.lit(k)) for xs in kinds.values() for k, c in xs]), lambda x: x.isNotNull())
+    risky = let(known, lambda k: F.when(k, none_of("string")).otherwise(F.array_sort(present)))
+    count = lambda found, n: F.size(F.filter(found, lambda k: k.isin(*[x for x, _ in kinds[n]])))
+    return let(risky, lambda found: F.struct(url.alias("url"), *[count(found, n).alias(n) for n in kinds], found.alias("kinds")))
 
 
 def url_scan(text: Column) -> Column:
     """struct(urls, suspicious, kinds, high, medium, low)."""
-    each = F.transform(urls_of(text), url_risk)
-    bad = F.filter(each, lambda u: u["high"] + u["medium"] + u["low"] > 0)
-    total = lambda n: F.aggregate(each, F.lit(0), lambda a, u: a + u[n])
-    return F.struct(
+    total = lambda each, n: F.aggregate(each, F.lit(0), lambda a, u: a + u[n])
+    bad = lambda each: F.filter(each, lambda u: F.size(u["kinds"]) > 0)
+    told = lambda each: F.struct(
         F.array_sort(F.transform(each, lambda u: u["url"])).alias("urls"),
-        F.array_sort(F.transform(bad, lambda u: u["url"])).alias("suspicious"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform(bad, lambda u: u["kinds"])))).alias("kinds"),
-        *[total(n).alias(n) for n in ("high", "medium", "low")],
+        F.array_sort(F.transform(bad(each), lambda u: u["url"])).alias("suspicious"),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(each, lambda u: u["kinds"])))).alias("kinds"),
+        *[total(each, n).alias(n) for n in ("high", "medium", "low")],
     )
+    return let(F.transform(urls_of(text), url_risk), told)
 
 
 def code_scan(text: Column, allow: bool = False, ban: bool = False) -> Column:
     """struct(has_code, languages, harmful, critical, high, medium) of fenced code, or of the whole text if it looks like code."""
     all_ = lambda g: F.regexp_extract_all(text, F.lit(to_java(FENCE, False)), F.lit(g))
-    fenced = all_(2)
     inline = reduce(lambda a, r: a | matches(text, r), INLINE_CODE, F.lit(False))
-    has_code = (F.size(fenced) > 0) | inline
-    blocks = F.when(F.size(fenced) > 0, fenced).when(inline, F.array(text)).otherwise(none_of("string"))
-    hits = lambda r: F.size(F.filter(blocks, lambda b: matches(b, r, True)))
-    counts = {k: [(n, hits(r)) for n, r in rules.items()] for k, rules in (("critical", CODE_CRITICAL), ("high", CODE_HIGH), ("medium", CODE_MEDIUM))}
-    sums = {k: reduce(add, [c for _, c in xs]) for k, xs in counts.items()}
-    if ban:
-        sums["medium"] = sums["medium"] + has_code.cast("int")
+    groups = (("critical", CODE_CRITICAL), ("high", CODE_HIGH), ("medium", CODE_MEDIUM))
     talk = contains_any(F.lower(text), CODE_TALK)
-    sums = {k: F.when(talk, F.floor((v + 1) / 2).cast("int")).otherwise(v) for k, v in sums.items()}
-    if allow and not ban:
-        sums["medium"] = F.lit(0)
-    names = [F.when(c > 0, F.lit(n)) for xs in counts.values() for n, c in xs] + ([F.when(has_code, F.lit("code-present"))] if ban else [])
-    languages = F.array_sort(F.array_distinct(F.filter(F.transform(all_(1), lambda x: F.lower(x)), lambda x: x != "")))
-    return F.struct(has_code.alias("has_code"), languages.alias("languages"), F.array_sort(F.filter(F.array(*names), lambda x: x.isNotNull())).alias("harmful"), *[sums[k].alias(k) for k in sums])
+
+    def fired(blocks: Column) -> Column:
+        """(group, name) of each rule and block where it fires."""
+        rules = lambda b: F.array(*[F.when(matches(b, r, True), F.struct(F.lit(g).alias("g"), F.lit(n).alias("n"))) for g, xs in groups for n, r in xs.items()])
+        return F.filter(F.flatten(F.transform(blocks, rules)), lambda x: x.isNotNull())
+
+    def told(x: Column) -> Column:
+        def number(g: str) -> Column:
+            n = F.size(F.filter(x["fired"], lambda f: f["g"] == g))
+            n = n + x["has_code"].cast("int") if ban and g == "medium" else n
+            n = F.when(x["talk"], F.floor((n + 1) / 2).cast("int")).otherwise(n)
+            return F.lit(0) if allow and not ban and g == "medium" else n
+
+        names = F.transform(x["fired"], lambda f: f["n"])
+        names = F.concat(names, F.when(x["has_code"], F.array(F.lit("code-present"))).otherwise(none_of("string"))) if ban else names
+        return F.struct(x["has_code"].alias("has_code"), x["languages"].alias("languages"), F.array_sort(F.array_distinct(names)).alias("harmful"), *[number(g).alias(g) for g, _ in groups])
+
+    def judged(fenced: Column) -> Column:
+        blocks = F.when(F.size(fenced) > 0, fenced).when(inline, F.array(text)).otherwise(none_of("string"))
+        languages = F.array_sort(F.array_distinct(F.filter(F.transform(all_(1), lambda v: F.lower(v)), lambda v: v != "")))
+        return let(blocks, lambda b: let(F.struct((F.size(b) > 0).alias("has_code"), languages.alias("languages"), talk.alias("talk"), fired(b).alias("fired")), told))
+
+    return let(all_(2), judged)
 
 
 def terms(text: Column) -> Column:
@@ -164,20 +173,23 @@ def terms(text: Column) -> Column:
 def relevance(output: Column, prompt: Column) -> Column:
     """struct(computed, relevance, prompt_terms, overlap, drift, is_low): how far an answer keeps to its prompt's terms."""
     out, asked = trimmed(F.lower(output)), trimmed(F.lower(F.coalesce(prompt, F.lit(""))))
-    wanted = terms(asked)
-    computed = (asked != "") & (out != "") & (F.size(wanted) > 0)
-    shared = F.size(F.array_intersect(wanted, terms(out)))
-    part = shared / F.size(wanted)
     drift = F.array_sort(found(out, lex.DRIFT_PHRASES))
-    low = computed & (F.size(wanted) >= 3) & ((part < 0.20) | ((part < 0.35) & (F.size(drift) > 0)))
-    return F.struct(
-        computed.alias("computed"),
-        F.when(computed, part).otherwise(-1.0).alias("relevance"),
-        F.when(computed, F.size(wanted)).otherwise(0).alias("prompt_terms"),
-        F.when(computed, shared).otherwise(0).alias("overlap"),
-        F.when(computed, drift).otherwise(none_of("string")).alias("drift"),
-        F.coalesce(low, F.lit(False)).alias("is_low"),
-    )
+
+    def told(x: Column) -> Column:
+        part = x["shared"] / x["wanted"]
+        low = x["computed"] & (x["wanted"] >= 3) & ((part < 0.20) | ((part < 0.35) & (F.size(x["drift"]) > 0)))
+        when = lambda v, other: F.when(x["computed"], v).otherwise(other)
+        return F.struct(
+            x["computed"].alias("computed"),
+            when(part, F.lit(-1.0)).alias("relevance"),
+            when(x["wanted"], F.lit(0)).alias("prompt_terms"),
+            when(x["shared"], F.lit(0)).alias("overlap"),
+            when(x["drift"], none_of("string")).alias("drift"),
+            F.coalesce(low, F.lit(False)).alias("is_low"),
+        )
+
+    counted = lambda wanted: F.struct(((out != "") & (F.size(wanted) > 0)).alias("computed"), F.size(wanted).alias("wanted"), F.size(F.array_intersect(wanted, terms(out))).alias("shared"), drift.alias("drift"))
+    return let(let(terms(asked), counted), told)
 
 
 # --- personal data: contexts and replacements need offsets, so this is one UDF

@@ -77,8 +77,9 @@ def assess(df: DataFrame, text: str = "text", url: str | None = None, cfg: Confi
     if cfg.mode == "deep" and cfg.service_url:
         out = escalate(out, text, url, cfg, client)
     if url and cfg.merge_domain and any(d.strip() for d in cfg.allowed_domains):
-        own = check_domain(F.col(url), list(cfg.allowed_domains), cfg.strict)
-        out = out.withColumn("risk", F.when(F.coalesce(F.col(url), F.lit("")) == "", F.col("risk")).otherwise(scoring.merged(F.col("risk"), own)))
+        out = out.withColumn("_own", check_domain(F.col(url), list(cfg.allowed_domains), cfg.strict))
+        out = out.withColumn("_both", scoring.merged(F.col("risk"), F.col("_own")))
+        out = out.withColumn("risk", F.when(F.coalesce(F.col(url), F.lit("")) == "", F.col("risk")).otherwise(F.col("_both"))).drop("_own", "_both")
     return out
 
 

@@ -120,8 +120,8 @@ SCORED = f"""{DOCS}, {HITS}, cat AS (
   SELECT doc_id, least(20, CASE WHEN {any_of("lower(text)", lex.PENALTY_DOC)} THEN 10 ELSE 0 END + CASE WHEN {any_of("lower(text)", lex.PENALTY_CODE)} THEN 10 ELSE 0 END
     + CASE WHEN {any_of("lower(text)", lex.PENALTY_LEGITIMATE)} THEN 5 ELSE 0 END + CASE WHEN contains(text, 'aria-') OR contains(text, 'data-') THEN 5 ELSE 0 END) AS penalty FROM docs
 ), scored AS (
-  SELECT docs.doc_id, CAST(coalesce(greatest(0, least(100, points + {" + ".join(_HAS(*c) for c in scoring.CHAINS)})
-    - CASE WHEN len(cats) = 1 AND NOT list_has_any(cats, {_list(scoring.HIGH_SIGNAL)}) AND NOT (top >= 4 AND base.n >= 2) THEN penalty ELSE 0 END), 0) AS INT) AS score
+  SELECT docs.doc_id, CAST(CASE WHEN points IS NULL THEN 0 ELSE greatest(0, least(100, points + {" + ".join(_HAS(*c) for c in scoring.CHAINS)})
+    - CASE WHEN len(cats) = 1 AND NOT list_has_any(cats, {_list(scoring.HIGH_SIGNAL)}) AND NOT (top >= 4 AND base.n >= 2) THEN penalty ELSE 0 END) END AS INT) AS score
   FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN pen USING (doc_id)
 )"""
 LEVEL = "CASE WHEN score < 20 THEN 'safe' WHEN score < 40 THEN 'low' WHEN score < 60 THEN 'medium' WHEN score < 80 THEN 'high' ELSE 'critical' END"
