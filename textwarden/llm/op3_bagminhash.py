@@ -21,8 +21,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, BANDS = 96, 24
 #: Ids that are broadcast to pick the candidates' texts; more are joined.
 BROADCAST_IDS = 1_000_000
-#: Rounds that compare a bucket's unlinked members with one further member each, before all that is left.
-PIVOT_ROUNDS = 2
+#: Members up to which a bucket's unlinked members are compared pair by pair; larger buckets are in blocks.
+SMALL_BUCKET = 32
+#: Part of the components in which the signatures of a pair at a similarity of 0.8 agree at least.
+LEAST_AGREEMENT = 0.6
+#: Rows of a block of queries or of members.
+BLOCK = 500
 GROUP_BYTES = 2 << 20
 
 U = np.uint64
@@ -145,21 +149,77 @@ def _sign(ids, texts):
                 yield i, xxhash.xxh3_128_digest(b" ".join(w)), band[k].tolist()
 
 
-def _verify(threshold: float):
-    def bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return bags(*shingles([folded_words(text)]))[1:]
+def _bags_of(ids, texts):
+    """Bags and signatures of candidates: total weight, signature, shingles and weights as bytes."""
+    for at, end in _groups(texts):
+        words = [folded_words(t) for t in texts[at:end]]
+        doc, name, weight = bags(*shingles(words))
+        sig = signatures(doc, name, weight, len(words)).astype(np.uint32)
+        edge = np.searchsorted(doc, np.arange(len(words) + 1))
+        for k, i in enumerate(ids[at:end]):
+            one = slice(edge[k], edge[k + 1])
+            yield i, int(weight[one].sum()), sig[k].tobytes(), name[one].tobytes(), weight[one].astype(np.uint32).tobytes()
+
+
+_BAGS = "d bigint, total bigint, sig binary, bag binary, weights binary"
+
+
+def _bag(bag: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(bag, dtype=U), np.frombuffer(weights, dtype=np.uint32).astype(np.int64)
+
+
+def _likely(least: float):
+    """Pairs whose signatures agree in at least the part ``least`` of their components."""
 
     def work(a, b, first, second):
-        last, held = None, None
-        for i, j, s, t in zip(a, b, first, second, strict=True):
-            if s != last:
-                last, held = s, bag(s)
-            if overlap(held, bag(t)) >= threshold:
+        agree = (np.frombuffer(b"".join(first), dtype=np.uint32) == np.frombuffer(b"".join(second), dtype=np.uint32)).reshape(len(a), -1).mean(axis=1)
+        for k in np.flatnonzero(agree >= least):
+            yield a[k], b[k]
+
+    return work
+
+
+def _verify(threshold: float):
+    def work(a, b, bag1, weights1, bag2, weights2):
+        for i, j, *rest in zip(a, b, bag1, weights1, bag2, weights2, strict=True):
+            if overlap(_bag(*rest[:2]), _bag(*rest[2:])) >= threshold:
                 yield i, j
 
     return work
 
 
+def _closing(threshold: float):
+    """Compares each query with all members of a block at once; tells the links that join classes, but none twice."""
+
+    def work(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out, up = [], {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                up[c] = c = up.get(up[c], up[c])
+            return c
+
+        if len(members) and len(queries):
+            sizes = np.array([len(b) // 8 for b in members["bag"]])
+            every, weights = _bag(b"".join(members["bag"]), b"".join(members["weights"]))
+            starts = np.cumsum(sizes) - sizes
+            totals, classes, ids = (members[n].to_numpy() for n in ("total", "c", "d"))
+            for q in queries.itertuples():
+                own, own_weights = _bag(q.bag, q.weights)
+                at = np.minimum(np.searchsorted(own, every), own.size - 1)
+                low = np.add.reduceat(np.where(own[at] == every, np.minimum(weights, own_weights[at]), 0), starts)
+                near = np.flatnonzero((low >= threshold * (totals + q.total - low)) & (classes != q.c))
+                _, one = np.unique(classes[near], return_index=True)
+                for k in near[one]:
+                    a, b = root(classes[k]), root(q.c)
+                    if a != b:
+                        up[max(a, b)] = min(a, b)
+                        out.append((min(ids[k], q.d), max(ids[k], q.d)))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return work
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(d, c): the smallest id of each linked node's component, by least labels and pointer jumping."""
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -182,10 +242,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     former are classes of their own, the latter's class is null.  Rows that share a key count as one document with
     several texts; other columns are not read.  ``key`` is a whole number.
 
-    No bucket's pairs are emitted: a bucket's members are compared with its smallest member and with one chosen by hash,
-    then those not yet linked to the rest of their bucket with further members.  At last each member outside its
-    bucket's largest class is compared with all members of other classes there, so that no link in a bucket is missed
-    between classes, and none is needed inside one.
+    No bucket's pairs are emitted: members are compared with their bucket's smallest member and with one chosen by hash.
+    Each document meets two of its buckets' so.  Then, in buckets that still hold several classes, the members outside the largest one are compared with all members
+    of other classes there: pair by pair in small buckets, in blocks in large ones.  So no
+    link in a bucket is missed between classes, and none is needed inside one.  Pairs whose signatures agree in
+    less than LEAST_AGREEMENT are taken for unlike: at the threshold, that is five standard deviations away.
     """
     rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("bigint").alias("d"), utf8(f"`{text}`").alias("t"))
     signed = staged(map_rows(rows, _sign, "d bigint, content binary, bands array<bigint>"))
@@ -195,37 +256,38 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     member = staged(member.join(bucket, "k"))
     ids = checkpointed(member.select("d").distinct())
     small = ids.count() <= BROADCAST_IDS
-    texts = staged(rows.join(F.broadcast(ids) if small else ids, "d", "left_semi"))
-
-    pair = lambda m, p: m.select(F.least(p, "d").alias("a"), F.greatest(p, "d").alias("b")).where("a < b")
+    held = staged(map_rows(rows.join(F.broadcast(ids) if small else ids, "d", "left_semi"), _bags_of, _BAGS))
+    least = threshold - (0.8 - LEAST_AGREEMENT)
 
     def linked(pairs: DataFrame) -> DataFrame:
-        far = pairs.join(texts.select(F.col("d").alias("b"), F.col("t").alias("second")), "b")
-        full = far.join(texts.select(F.col("d").alias("a"), F.col("t").alias("first")), "a")
-        return checkpointed(map_rows(full.select("a", "b", "first", "second"), _verify(threshold), "a bigint, b bigint").distinct())
-
-    tested = checkpointed(pair(member, "p").union(pair(member, "q")).distinct())
+        sig = lambda x, name: held.select(F.col("d").alias(x), F.col("sig").alias(name))
+        bag = lambda x, n: held.select(F.col("d").alias(x), F.col("bag").alias(f"bag{n}"), F.col("weights").alias(f"weights{n}"))
+        both = pairs.join(sig("a", "first"), "a").join(sig("b", "second"), "b").select("a", "b", "first", "second")
+        likely = map_rows(both, _likely(least), "a bigint, b bigint").distinct()
+        full = likely.join(bag("b", 2), "b").join(bag("a", 1), "a").select("a", "b", "bag1", "weights1", "bag2", "weights2")
+        return checkpointed(map_rows(full, _verify(threshold), "a bigint, b bigint").distinct())
+
+    # A document of many buckets is first compared with two of its pivots only; what that leaves open is closed below.
+    pivot = member.groupBy("d").agg(F.min("p").alias("p"), F.min("q").alias("q"))
+    pair = lambda p: pivot.select(F.least(p, "d").alias("a"), F.greatest(p, "d").alias("b")).where("a < b")
+    tested = checkpointed(pair("p").union(pair("q")).distinct())
     edges = linked(tested)
     label = components(edges)
-    for turn in range(PIVOT_ROUNDS + 1):
-        here = member.select("k", "d").join(label, "d", "left").select("k", "d", F.coalesce("c", "d").alias("c"))
-        open_ = here.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
-        here = checkpointed(here.join(open_, "k"))
-        if turn < PIVOT_ROUNDS:
-            pivot = here.groupBy("k").agg(F.min_by(F.struct("d", "c"), F.xxhash64("d", F.lit(turn))).alias("p"))
-            new = here.join(pivot, "k").where("c <> p.c").select(F.least("d", "p.d").alias("a"), F.greatest("d", "p.d").alias("b"))
-        else:
-            main = here.groupBy("k", "c").count().groupBy("k").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-            out = here.join(main, "k").where("c <> main").select("k", F.col("d").alias("x"), F.col("c").alias("cx"))
-            new = out.join(here, "k").where("c <> cx").select(F.least("d", "x").alias("a"), F.greatest("d", "x").alias("b"))
-        new = checkpointed(new.distinct().join(tested, ["a", "b"], "left_anti"))
-        if not new.limit(1).count():
-            continue
-        found = linked(new)
-        tested = tested.union(new)
-        if found.limit(1).count():
-            edges = edges.union(found)
-            label = components(edges)
+
+    here = member.select("k", "d").join(label, "d", "left").select("k", "d", F.coalesce("c", "d").alias("c"))
+    open_ = here.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
+    here = checkpointed(here.join(open_, "k"))
+    classes = here.groupBy("k", "c").agg(F.count("*").alias("n"))
+    main = checkpointed(classes.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size")))
+    few = here.join(main.where(F.col("size") <= SMALL_BUCKET), "k")
+    out = few.where("c <> main").select("k", F.col("d").alias("x"), F.col("c").alias("cx"))
+    pairs = out.join(few, "k").where("c <> cx").select(F.least("d", "x").alias("a"), F.greatest("d", "x").alias("b")).distinct()
+    found = linked(checkpointed(pairs.join(tested, ["a", "b"], "left_anti")))
+    many = checkpointed(here.join(main.where(F.col("size") > SMALL_BUCKET).select("k"), "k"))
+    if many.limit(1).count():
+        found = found.union(_closed(many, held, threshold))
+    if found.limit(1).count():
+        label = components(edges.union(found))
     node = signed.groupBy("content").agg(F.min("d").alias("node"))
     named = signed.select("d", "content").join(node, "content").join(label.withColumnRenamed("d", "node"), "node", "left")
     classes = named.select("d", F.coalesce("c", "node").alias("class")).groupBy("d").agg(F.min("class").alias("class"))
@@ -233,6 +295,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     return back.join(classes, "d", "left").select(F.col(f"`{key}`"), F.coalesce("class", "d").alias("class_id"))
 
 
+def _closed(many: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """Links between classes in large buckets (k, d, c).  Buckets that share members are one group; the documents outside the
+    group's largest class are queries against all of the group, both in blocks, each pair of blocks one task's group."""
+    here = many.select("k", "c").distinct()
+    star = here.join(here.groupBy("k").agg(F.min("c").alias("b")), "k").where("c <> b").select(F.col("c").alias("a"), "b").distinct()
+    rows = many.select("d", "c").distinct().join(components(star).toDF("c", "s"), "c")
+    classes = rows.groupBy("s", "c").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("bigint")
+    size = classes.groupBy("s").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("top"))
+    size = checkpointed(size.where(F.col("all") > F.col("top")).select("s", "main", blocks(F.col("all")).alias("nm"), blocks(F.col("all") - F.col("top")).alias("nq")))
+    both = rows.join(size, "s")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("d"), F.col(n))
+    cols = ["s", "m", "q", "d", "c", "total", "bag", "weights"]
+    members = both.withColumn("m", own("nm")).withColumn("q", every("nq")).join(held, "d").select(cols).toDF(*cols)
+    queries = both.where("c <> main").withColumn("q", own("nq")).withColumn("m", every("nm")).join(held, "d").select(cols).toDF(*cols)
+    found = members.groupBy("s", "m", "q").cogroup(queries.groupBy("s", "m", "q")).applyInPandas(_closing(threshold), "a bigint, b bigint")
+    return checkpointed(found.distinct())
+
+
 def first_of_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row of each class's smallest key, and all rows of a null key; all columns stay."""
     found = near_duplicates(df, key, text)
