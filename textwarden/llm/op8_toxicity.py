@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, utf8
+from .common import bounded_batches, map_rows, table, utf8
 
 #: Bytes of a window; it ends at the next word's end.
 WINDOW = 128
@@ -214,6 +214,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     """The rows that score below ``threshold``, with all their columns, in place."""
     from pyspark.sql.functions import pandas_udf
 
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -11,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded_spans, folded_words, map_rows, table, utf8
+from .common import bounded_batches, folded_spans, folded_words, map_rows, table, utf8
 
 WINDOW = 10
 #: Bytes of item text that one automaton takes; a larger item table is scanned for in blocks of this size.
@@ -124,6 +123,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", max_s
     """
     from pyspark.sql.functions import pandas_udf
 
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(patterns(b)) for b in item_blocks(items, "item_id", "text", BLOCK_BYTES)]
 
