@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators import output_scan, scanners, scoring
 from ..operators.debias import context_score, debiased, payload_types
 from ..operators.domain import check_domain
@@ -65,7 +67,8 @@ def input_risk(df: DataFrame, text: Column, cfg: Config) -> DataFrame:
         over_defense_risk=defense,
         intent=scoring.intent(cats),
     )
-    out = out.withColumn("risk", F.when(on, found).otherwise(scoring.safe()))
+    # Bound as one value: else each use of a field would be worked out anew from all that it comes from.
+    out = out.withColumn("risk", let(F.when(on, found).otherwise(scoring.safe()), lambda r: r))
     return out.select(*[c for c in df.columns if c != "risk"], "risk")
 
 
@@ -92,7 +95,7 @@ def assess_output(df: DataFrame, text: str = "text", prompt: str | None = None,
     o = F.col("_out")
     out = out.withColumns({"_leak": output_scan.prompt_leak(o), "_urls": output_scan.url_scan(o), "_pii": output_scan.pii()(o), "_code": output_scan.code_scan(o, cfg.allow_output_code, cfg.ban_output_code), "_rel": output_scan.relevance(o, asked)})
     found = output_scan.output_risk(o, *[F.col(n) for n in ("_leak", "_urls", "_pii", "_code", "_rel")], cfg.strict, cfg.block_threshold)
-    return out.withColumn("risk", found).drop("_out", "_leak", "_urls", "_pii", "_code", "_rel")
+    return out.withColumn("risk", let(found, lambda r: r)).drop("_out", "_leak", "_urls", "_pii", "_code", "_rel")
 
 
 def assess_pair(df: DataFrame, prompt: str, output: str, cfg: Config = Config()) -> DataFrame:
@@ -101,16 +104,15 @@ def assess_pair(df: DataFrame, prompt: str, output: str, cfg: Config = Config())
 
 
 def assess_by_mode(df: DataFrame, text: str, mode: str, engines: dict[str, Config], default: str = "balanced") -> DataFrame:
-    """Adds ``risk`` by the engine that each row's mode names; an unknown mode is an error when the row is computed."""
+    """Adds ``risk`` by the engine that each row's mode names; an unknown mode is an error when the row is computed.
+
+    Each engine reads the rows of its mode: a filter that is pushed to the scan where the mode is a stored column."""
     chosen = F.when(F.trim(F.coalesce(F.col(mode), F.lit(""))) == "", F.lit(parse_mode(default))).otherwise(F.lower(F.trim(F.col(mode))))
     out = df.withColumn("_mode", chosen)
-    pick = None
-    for name, cfg in engines.items():
-        out = assess(out.withColumn("_own", F.when(F.col("_mode") == name, F.col(text))), "_own", None, cfg).withColumnRenamed("risk", f"_risk_{name}")
-        here = F.col("_mode") == name
-        pick = F.when(here, F.col(f"_risk_{name}")) if pick is None else pick.when(here, F.col(f"_risk_{name}"))
+    parts = [assess(out.where(F.col("_mode") == name), text, None, cfg) for name, cfg in engines.items()]
     unknown = F.raise_error(F.concat(F.lit("engine is not configured for mode "), F.col("_mode"))).cast(scoring.RISK)
-    return out.withColumn("risk", pick.otherwise(unknown) if pick is not None else unknown).drop("_mode", "_own", *[f"_risk_{n}" for n in engines])
+    parts.append(out.where(~F.col("_mode").isin(*engines)).withColumn("risk", unknown))
+    return reduce(DataFrame.unionByName, parts).drop("_mode")
 
 
 def sanitize(df: DataFrame, text: str = "text", cfg: SanitizeConfig = SanitizeConfig(), output: bool = False) -> DataFrame:
