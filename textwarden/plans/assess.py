@@ -19,6 +19,12 @@ from ..sources.config import Config, parse_mode, resolved
 from ..sources.service import escalate
 
 
+def _kept_whole(found: Column) -> Column:
+    """A result as one value that the optimizer neither takes apart nor moves filters through: a filter on a field would else be
+    worked out anew from all that the field comes from, stage by stage.  So filter on other columns before assessing."""
+    return let(F.when(F.rand(0) >= 0, found), lambda r: r)
+
+
 def input_risk(df: DataFrame, text: Column, cfg: Config) -> DataFrame:
     """Adds ``risk``, the local risk of ``text``, in stages whose results are used several times."""
     t, p, m, s, g, x, e, b, k, sc, tr = (F.col(f"_{n}") for n in ("text", "p", "m", "sec", "gib", "tox", "emo", "ban", "gate", "score", "trigger"))
@@ -67,8 +73,7 @@ def input_risk(df: DataFrame, text: Column, cfg: Config) -> DataFrame:
         over_defense_risk=defense,
         intent=scoring.intent(cats),
     )
-    # Bound as one value: else each use of a field would be worked out anew from all that it comes from.
-    out = out.withColumn("risk", let(F.when(on, found).otherwise(scoring.safe()), lambda r: r))
+    out = out.withColumn("risk", _kept_whole(F.when(on, found).otherwise(scoring.safe())))
     return out.select(*[c for c in df.columns if c != "risk"], "risk")
 
 
@@ -95,7 +100,7 @@ def assess_output(df: DataFrame, text: str = "text", prompt: str | None = None,
     o = F.col("_out")
     out = out.withColumns({"_leak": output_scan.prompt_leak(o), "_urls": output_scan.url_scan(o), "_pii": output_scan.pii()(o), "_code": output_scan.code_scan(o, cfg.allow_output_code, cfg.ban_output_code), "_rel": output_scan.relevance(o, asked)})
     found = output_scan.output_risk(o, *[F.col(n) for n in ("_leak", "_urls", "_pii", "_code", "_rel")], cfg.strict, cfg.block_threshold)
-    return out.withColumn("risk", let(found, lambda r: r)).drop("_out", "_leak", "_urls", "_pii", "_code", "_rel")
+    return out.withColumn("risk", _kept_whole(found)).drop("_out", "_leak", "_urls", "_pii", "_code", "_rel")
 
 
 def assess_pair(df: DataFrame, prompt: str, output: str, cfg: Config = Config()) -> DataFrame:
