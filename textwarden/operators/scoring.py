@@ -50,8 +50,12 @@ def level(score: Column) -> Column:
     return F.when(score < 20, "safe").when(score < 40, "low").when(score < 60, "medium").when(score < 80, "high").otherwise("critical")
 
 
+def block_limit(strict: bool = False, threshold: int = 0) -> int:
+    return threshold if 1 <= threshold <= 100 else 40 if strict else 60
+
+
 def blocked(score: Column, strict: bool = False, threshold: int = 0) -> Column:
-    return score >= (threshold if 1 <= threshold <= 100 else 40 if strict else 60)
+    return score >= block_limit(strict, threshold)
 
 
 def risk(score: Column, is_blocked: Column, reason: Column, patterns: Column, categories: Column, **rest: Column) -> Column:

@@ -8,11 +8,10 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.scoring import RISK, blocked
+from ..operators.scoring import RISK, block_limit
 from .config import Config
 
 ESCALATE_AT = 60
@@ -82,15 +81,19 @@ def escalate(df: DataFrame, text: str, url: str | None, cfg: Config, client: Cal
     The call is not repeatable, so write or checkpoint the result before it is used twice.
     """
     make = client or (lambda: Client(cfg))
+    limit = block_limit(cfg.strict, cfg.block_threshold)
 
-    @F.pandas_udf(RISK)
-    def ask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         service = make()
-        for texts, urls in batches:
-            rows = [service.assess(t, u) if t is not None else None for t, u in zip(texts, urls, strict=True)]
-            yield pd.DataFrame([r or dict.fromkeys(FIELDS) for r in rows], columns=FIELDS)
-
-    asked = F.when(F.col("risk.score") >= ESCALATE_AT, F.col(text))
-    found = df.withColumn("_told", ask(asked, F.col(url).cast("string") if url else F.lit(None).cast("string")))
-    told = F.col("_told").withField("blocked", blocked(F.col("_told.score"), cfg.strict, cfg.block_threshold))
-    return found.withColumn("risk", F.when(F.col("_told.score").isNotNull(), told).otherwise(F.col("risk"))).drop("_told")
+        for batch in batches:
+            names = batch.schema.names
+            risks, texts = batch.column(names.index("risk")).to_pylist(), batch.column(names.index(text)).to_pylist()
+            urls = batch.column(names.index(url)).to_pylist() if url else [None] * len(risks)
+            for k, (r, t, u) in enumerate(zip(risks, texts, urls, strict=True)):
+                told = service.assess(t, u) if t is not None and r["score"] >= ESCALATE_AT else None
+                if told:
+                    risks[k] = told | {"blocked": told["score"] >= limit}
+            at = names.index("risk")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(risks, type=batch.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
