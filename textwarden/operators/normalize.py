@@ -47,6 +47,8 @@ SPLIT_WORDS = "ignore disregard forget override bypass circumvent jailbreak exfi
 SEPARATORS = "-_.|+="
 HTML_PREFIX, ATTRIBUTE_BYTES, SUBSTANTIAL = 512, 512, 20
 DECODE_DEPTH, DECODE_VARIANTS = 3, 50
+#: A run of characters that may be an encoded payload within a text (the reference's shape, and its URL-safe form).
+ENCODED_TOKEN = r"[A-Za-z0-9+/_-]{16,}={0,2}"
 
 IGNORED_TAGS = frozenset({"script", "style", "noscript", "template"})
 TEXT_ATTRIBUTES = frozenset({"aria-label", "alt", "title", "placeholder"})
@@ -393,6 +395,34 @@ def decoded_variants(depth: int = DECODE_DEPTH, limit: int = DECODE_VARIANTS):
     return run
 
 
+class _Styles(HTMLParser):
+    """Values of all style attributes of a page, in document order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        self.found += [value or "" for name, value in attrs if name == "style"]
+
+
+def styles_of(page: str) -> list[str]:
+    out = _Styles()
+    out.feed(page)
+    out.close()
+    return out.found
+
+
+def styles():
+    """UDF page -> array of the values of its style attributes."""
+
+    @F.pandas_udf("array<string>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: styles_of(p or ""))
+
+    return run
+
+
 def buckets():
     """UDF page -> struct(visible, hidden, comments, attrs) of an HTML page."""
 

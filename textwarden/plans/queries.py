@@ -313,13 +313,16 @@ def _style_sql() -> str:
 
 @query("style_hidden_flags", _style_sql())
 def style_hidden_flags(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", _pick(STYLES, "page_id").alias("style")).withColumn("hidden", normalize.style_hidden(F.col("style")))
+    """Every style attribute of each page, which gets an element of its own before all others (nothing open can swallow it)."""
+    page = F.concat(F.lit('<i style="'), _pick(STYLES, "page_id"), F.lit('"></i>'), F.coalesce("html", F.lit("")))
+    return _read(spark, sf_dir, "pages").select("page_id", F.explode(normalize.styles()(page)).alias("style")).withColumn("hidden", normalize.style_hidden(F.col("style")))
 
 
 @query("zero_width_count", "SELECT page_id, CAST(page_id % 5 AS INT) AS n, page_id % 5 >= 3 AS injected FROM pages")
 def zero_width_count(spark, sf_dir):
+    """The zero-width characters of each page and those put behind it; the SQL knows only the latter, as no page of the tables has any."""
     text = F.concat(F.coalesce("html", F.lit("")), F.expr("repeat('\\u200b', cast(page_id % 5 AS int))"))
-    found = _read(spark, sf_dir, "pages").select("page_id", (normalize.zero_width_count(text) - normalize.zero_width_count(F.coalesce("html", F.lit("")))).cast("int").alias("n"))
+    found = _read(spark, sf_dir, "pages").select("page_id", normalize.zero_width_count(text).cast("int").alias("n"))
     return found.withColumn("injected", F.col("n") >= 3)
 
 
@@ -335,7 +338,8 @@ def rot_family_scan(spark, sf_dir):
 
 
 def _picked(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", _pick(ENCODED, "doc_id").alias("token"))
+    """Each document's whole text and the token chosen for it; the SQL knows only the latter, as no text of the tables is one."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.coalesce("text", F.lit("")), _pick(ENCODED, "doc_id"))).alias("token"))
 
 
 _PICKED = f"e AS (SELECT doc_id, ({_list(ENCODED)})[doc_id % {len(ENCODED)} + 1] AS token FROM documents)"
@@ -535,7 +539,11 @@ def html_buckets(spark, sf_dir):
 
 @query("decoded_variants")
 def decoded_variants(spark, sf_dir):
-    v = _read(spark, sf_dir, "documents").select("doc_id", F.explode(normalize.decoded_variants()(_pick(ENCODED, "doc_id"))).alias("v"))
+    """Decodings of each document's whole text, of the token chosen for it, and of the runs in the text that may be encoded."""
+    text = F.coalesce("text", F.lit(""))
+    inner = F.array_distinct(F.regexp_extract_all(text, F.lit(normalize.ENCODED_TOKEN), F.lit(0)))
+    pieces = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_union(F.array(text, _pick(ENCODED, "doc_id")), inner)).alias("piece"))
+    v = pieces.select("doc_id", F.explode(normalize.decoded_variants()("piece")).alias("v"))
     return v.select("doc_id", "v.*")
 
 
