@@ -313,6 +313,23 @@ def test_neighbours_lose_what_they_share(spark):
     assert op5.extract_main_text(df.where("false")).count() == 0
 
 
+def test_copies_and_thin_pages_lose_the_lines_of_the_site(spark):
+    chrome = [f"Site line {k}" for k in range(10)]
+    page = lambda own: "".join(f"<div>{t}</div>" for t in [*chrome[:5], *own, *chrome[5:]])
+    own = lambda k, n: [f"Own {k} line {j}" for j in range(n)]
+    rows = [(k, f"http://thin.example/{k}", own(k, 2)) for k in range(4)]
+    rows += [(10, "http://two.example/a", own(10, 2)), (11, "http://two.example/b", own(11, 2)), (12, "http://two.example/c", None)]
+    rows += [(20, "http://copies.example/a", own(20, 20)), *[(k, f"http://copies.example/b{k}", own(21, 20)) for k in range(21, 26)], (26, "http://copies.example/c", own(26, 20))]
+    near = own(30, 60)
+    rows += [*[(k, f"http://near.example/{k}", [*near, f"Seen {k} times"]) for k in range(30, 34)], (34, "http://near.example/z", own(34, 20))]
+    rows += [(k, f"http://thrice.example/{k}", own(k // 3, 2)) for k in range(42, 51)]
+    rows += [(k, f"http://same.example/{k}", own(60, 2)) for k in range(60, 63)]
+    df = spark.createDataFrame([(k, u, None if o is None else page(o)) for k, u, o in rows], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text.split("\n") for r in op5.extract_main_text(df).collect()}
+    for k, u, o in rows:
+        assert got[k] == ([""] if o is None else [*chrome[:5], *o, *chrome[5:]] if "same" in u else o), k
+
+
 # --- substrings
 
 

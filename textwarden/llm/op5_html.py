@@ -1,7 +1,9 @@
 """Main text of pages by nearest-URL page differencing.
 
 Pages of a host are ordered by URL path.  The text lines of each page are aligned with those of its two neighbours by
-their longest common subsequence, and shared lines go: they belong to the site, not to the page.  An exact check
+their longest common subsequence, and shared lines go: they belong to the site, not to the page.  Neighbours that share
+more than COPY_SHARE of their lines may be copies; a run of such pages is aligned with the pages before and after
+the run instead, and if the host has no other page, each with the next one of other lines.  An exact check
 by markup follows: lines in menus, headers, footers, sidebars, notices, adverts, forms and reader comments go even if
 no neighbour has them, and where the page marks its article, the article's own lines stay even if a neighbour has them
 too (a copy, or a sentence that two articles share) and all other lines go.
@@ -38,7 +40,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 FREE, ARTICLE, DROPPED = 0, 1, 2
 
-#: Pages that share more than this part of their free lines are copies; what they share tells nothing.
+#: Neighbours of which one shares more than this part of its free lines may be copies; pages beyond them tell what is the site's.
 COPY_SHARE = 0.8
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*(?:>|$)|([^<]+|<)", re.DOTALL)
@@ -176,14 +178,26 @@ def _keys(ids, urls, pages):
         yield i, host, path, [xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63) for t, _ in found], bytes(z for _, z in found)
 
 
-def _shared(ids, hashes, zones, other_ids, other_hashes, other_zones):
-    """Of two neighbours, the numbers of free lines that they share."""
-    for i, a, za, j, b, zb in zip(ids, hashes, zones, other_ids, other_hashes, other_zones, strict=True):
-        at, bt = common(a, b)
-        for key, z, got in ((i, za, at), (j, zb, bt)):
-            free = [k for k in got if z[k] == FREE]
-            if free and len(free) <= COPY_SHARE * z.count(FREE):
-                yield key, free
+def _aligned(a, za, b, zb) -> tuple[list[int], list[int], bool]:
+    """Numbers of the free lines that each of two pages shares with the other, and whether the pages may be copies."""
+    free = [[k for k in got if z[k] == FREE] for got, z in zip(common(a, b), (za, zb), strict=True)]
+    return *free, any(f and len(f) > COPY_SHARE * z.count(FREE) for f, z in zip(free, (za, zb), strict=True))
+
+
+def _neighbours(ranks, ids, hashes, zones, other_ids, other_hashes, other_zones):
+    """Of each two neighbours, the first one's rank, and for both the free lines that they share."""
+    for r, i, a, za, j, b, zb in zip(ranks, ids, hashes, zones, other_ids, other_hashes, other_zones, strict=True):
+        own, other, alike = _aligned(a, za, b, zb)
+        for key, free in ((i, own), (j, other)):
+            if free:
+                yield r, key, alike, free
+
+
+def _beyond(ids, hashes, zones, other_hashes, other_zones):
+    """Free lines that a page shares with another that is not its neighbour."""
+    for i, a, za, b, zb in zip(ids, hashes, zones, other_hashes, other_zones, strict=True):
+        if free := _aligned(a, za, b, zb)[0]:
+            yield i, free
 
 
 def _texts(ids, urls, pages, shared):
@@ -205,11 +219,36 @@ def ranked(keys: DataFrame, *order: str) -> DataFrame:
     return done.withColumn("rank", F.element_at(F.lit(starts or [0]).cast("array<bigint>"), (part + 1).cast("int")) + row).drop("_at")
 
 
+def _next(at: DataFrame, *same: str) -> DataFrame:
+    """Each page of a ranked table with the next one, of equal ``same``."""
+    after = at.select((F.col("rank") - 1).alias("rank"), F.col("i").alias("j"), F.col("hashes").alias("hashes2"), F.col("zones").alias("zones2"), *[F.col(c).alias(f"{c}2") for c in same])
+    return at.join(after, "rank").where(" AND ".join(f"{c} = {c}2" for c in same)).select("rank", "i", "hashes", "zones", "j", "hashes2", "zones2")
+
+
+def _of_runs(at: DataFrame, alike: DataFrame, kind: str) -> DataFrame:
+    """(i, gone) of the pages in runs of possible copies; ``alike`` holds each rank ``r`` whose page is like the next one."""
+    links = checkpointed(ranked(alike, "r").select("r", (F.col("r") - F.col("rank")).alias("run")))
+    place = lambda name: at.select(F.col("rank").alias(name), F.col("host").alias(f"{name}_host"))
+    runs = links.groupBy("run").agg(F.min("r").alias("first"), (F.max("r") + 1).alias("last")).withColumns({"before": F.col("first") - 1, "after": F.col("last") + 1})
+    runs = runs.join(place("first"), "first").join(place("before"), "before", "left").join(place("after"), "after", "left")
+    outer = F.filter(F.array(F.when(F.col("before_host") == F.col("first_host"), F.col("before")), F.when(F.col("after_host") == F.col("first_host"), F.col("after"))), F.isnotnull)
+    members = links.select("run", F.explode(F.array("r", F.col("r") + 1)).alias("rank")).distinct()
+    pages = checkpointed(members.join(runs.select("run", outer.alias("outer")), "run").join(at, "rank"))
+    other = at.select(F.col("rank").alias("q"), F.col("hashes").alias("hashes2"), F.col("zones").alias("zones2"))
+    far = pages.select("rank", "i", "hashes", "zones", F.explode("outer").alias("q")).where(F.abs(F.col("q") - F.col("rank")) > 1).join(other, "q")
+    gone = map_rows(far.select("i", "hashes", "zones", "hashes2", "zones2"), _beyond, f"i {kind}, gone array<int>")
+    alone = pages.where(F.size("outer") == 0)
+    lists = alone.groupBy("run", "hashes", "zones").agg(F.min(F.struct("path", "rank")).alias("p")).select("run", "hashes", "zones", "p.path", F.col("p.rank").alias("i"))
+    inner = map_rows(_next(ranked(lists, "run", "path", "i"), "run"), _neighbours, "rank bigint, lead bigint, alike boolean, gone array<int>")
+    leads = alone.select("run", "hashes", "zones", "i").join(lists.withColumnRenamed("i", "lead").drop("path"), ["run", "hashes", "zones"])
+    return gone.unionByName(leads.join(inner, "lead").select("i", "gone"))
+
+
 def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast_rows: int = 200_000) -> DataFrame:
     """The main text of each page.
 
     Returns ``key``, ``url`` and text, blocks joined by newlines.  Null and empty pages have an empty text; pages of a
-    null URL or one without a host are neighbours of each other; rows that share a key share the lines that go;
+    null URL or one without a host are neighbours of each other; pages without lines are nobody's; rows that share a key share the lines that go;
     ties of path are ordered by key; other columns are not read.
 
     Only hashes of lines are sorted and joined.  The lines that go are broadcast if they concern at most
@@ -218,10 +257,12 @@ def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url",
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(F.col(f"`{key}`").alias("i"), F.col(f"`{url}`").alias("u"), utf8(f"`{html}`").alias("h"))
     keys = map_rows(rows, _keys, f"i {kind}, host string, path string, hashes array<bigint>, zones binary")
-    at = ranked(keys, "host", "path", "i")
-    after = at.select(F.col("i").alias("j"), F.col("host").alias("host2"), F.col("hashes").alias("hashes2"), F.col("zones").alias("zones2"), (F.col("rank") - 1).alias("rank"))
-    pairs = at.join(after, "rank").where("host = host2").select("i", "hashes", "zones", "j", "hashes2", "zones2")
-    gone = checkpointed(map_rows(pairs, _shared, f"i {kind}, gone array<int>").groupBy("i").agg(F.collect_list("gone").alias("gone")))
+    at = ranked(keys.where(F.size("hashes") > 0), "host", "path", "i")
+    near = checkpointed(map_rows(_next(at, "host"), _neighbours, f"rank bigint, i {kind}, alike boolean, gone array<int>"))
+    shared, alike = near.where("NOT alike").select("i", "gone"), near.where("alike").select(F.col("rank").alias("r")).distinct()
+    if not alike.isEmpty():
+        shared = shared.unionByName(_of_runs(at, alike, kind))
+    gone = checkpointed(shared.groupBy("i").agg(F.collect_list("gone").alias("gone")))
     small = gone.count() <= broadcast_rows
     both = rows.join(F.broadcast(gone) if small else gone, "i", "left").select("i", "u", "h", "gone")
     return map_rows(both, _texts, f"`{key}` {kind}, `{url}` string, text string")
