@@ -425,6 +425,11 @@ def test_classifier_on_held_out_texts():
     assert b"".join(op8.windows(op8.normal("wörd " * 999))) == op8.normal("wörd " * 999)
 
 
+def test_ordinary_texts_are_trained_on_to_their_end():
+    text = op8.normal("plain words " * 400 + "marigold umbrella")
+    assert len(op8.windows(text)) > 20 and op8.normal("marigold umbrella").strip() in op8.dictionaries([], [text]).ordinary
+
+
 def test_no_labels(spark, docs, rows):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = op8.scored(docs, op8.fit_tables(docs, labels)).collect()

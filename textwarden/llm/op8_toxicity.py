@@ -137,10 +137,10 @@ class Model:
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     marks, r = markers(toxic, ordinary), random.Random(7)
     excerpts = [b" " + w + b" " for t in toxic for w in t.split() if any(s in marks for s in strings(w))]
-    plain = [w for t in ordinary for w in windows(t)[:20]]
+    plain = [w for t in ordinary for w in windows(t)]
     r.shuffle(excerpts)
     r.shuffle(plain)
-    return Model(trained([b"".join(excerpts[k : k + 8]) for k in range(0, len(excerpts), 8)], TOXIC_BYTES, 32), trained(plain[:20000], ORDINARY_BYTES, 64))
+    return Model(trained([b"".join(excerpts[k : k + 8]) for k in range(0, len(excerpts), 8)], TOXIC_BYTES, 32), trained(plain, ORDINARY_BYTES, 64))
 
 
 def calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
@@ -156,7 +156,7 @@ def calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(toxic: list[str | None], ordinary: list[str | None]) -> Model:
-    """Dictionaries of all texts; the calibration is fitted on savings by dictionaries of the other half."""
+    """Dictionaries of all windows of the ordinary texts and of the marked words of the toxic ones; the calibration is fitted on savings by dictionaries of the other half."""
     t, o = [normal(x) for x in toxic], [normal(x) for x in ordinary]
     model = dictionaries(t, o)
     model.base = len(t) / max(1, len(t) + len(o))
