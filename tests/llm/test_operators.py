@@ -484,3 +484,16 @@ def test_licenses(spark, docs, empty):
     text = "intro words " + op10.TEMPLATES["bsd-text"][0].upper() + " tail"
     assert [x[0] for x in op10.scan(text.encode(), op10.build_index())[2]] == ["bsd-text"]
     assert op10.find_licenses(empty).count() == 0
+
+
+def test_licence_with_a_word_in_each_line():
+    index = op10.build_index()
+    for label in ("mit-text", "bsd-text", "gpl-text"):
+        template, keys = op10.TEMPLATES[label]
+        text = template
+        for key in keys:
+            text = text.replace(key, key.replace(" ", "_"))
+        lines = " ".join(w for k, x in enumerate(text.split()) for w in ([x, "dnl"] if k % 4 == 3 else [x])).replace("_", " ")
+        found = {x: s for x, s, _ in op10.scan(f"some words before {lines} and behind".encode(), index)[2]}
+        assert 0.9 < found[label] <= 1.0000001, label
+        assert label not in {x for x, _, _ in op10.scan(" ".join(reversed(template.split())).encode(), index)[2]}

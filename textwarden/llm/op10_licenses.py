@@ -49,7 +49,7 @@ TEMPLATES = {
 COMMON_SHARE = 0.34
 #: Share of a template's IDF weight that must stand at its relative positions.
 MIN_SCORE = 0.5
-#: Words by which an aligned copy may have been shifted by edits, for the key phrases.
+#: Words by which edits may shift what follows against what stands before; starts no further apart are joined.
 SLACK = 8
 
 
@@ -65,6 +65,7 @@ class Index:
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     anchors: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     weight: list[float] = field(default_factory=list)
+    rare: set[tuple[int, bytes]] = field(default_factory=set)
 
 
 def build_index(templates: dict[str, tuple[str, list[str]]] | None = None, base: dict[str, str] | None = None) -> Index:
@@ -79,6 +80,7 @@ def build_index(templates: dict[str, tuple[str, list[str]]] | None = None, base:
         for q, w in enumerate(ws):
             if w in rare:
                 out.postings[w].append((t, q))
+                out.rare.add((t, w))
         out.weight.append(sum(out.idf[w] for w in ws))
     for k, (ws, _) in enumerate(out.base):
         q = max(range(len(ws)), key=lambda j: out.idf[ws[j]])
@@ -86,13 +88,42 @@ def build_index(templates: dict[str, tuple[str, list[str]]] | None = None, base:
     return out
 
 
+def in_order(words: list[bytes], ws: list[bytes], starts: list[int], idf: dict[bytes, float]) -> tuple[float, int, int]:
+    """(weight, start, end) of the heaviest choice of template words that stand in order, each at its place from one of ``starts``."""
+    n = len(words)
+    none = (0.0, starts[0], 0, None)  # weight, start, template place, the one before
+    tree: list[tuple] = [none] * (starts[-1] - starts[0] + len(ws) + 1)  # best by last place, as a Fenwick tree
+    base, top = starts[0], none
+    for q, w in enumerate(ws):
+        for start in reversed(starts):  # later places first, so that a template word is taken once
+            p = start + q
+            if not (0 <= p < n and words[p] == w):
+                continue
+            before, k = none, p - base
+            while k > 0:
+                before = max(before, tree[k - 1], key=lambda x: x[0])
+                k &= k - 1
+            one = (before[0] + idf[w], start, q, before if before[0] else None)
+            top = max(top, one, key=lambda x: x[0])
+            k = p - base + 1
+            while k <= len(tree):
+                tree[k - 1] = max(tree[k - 1], one, key=lambda x: x[0])
+                k += k & -k
+    taken, one = [], top if top[0] else None
+    while one:
+        taken.append(one)
+        one = one[3]
+    return sum(idf[ws[x[2]]] for x in reversed(taken)), (taken or [top])[-1][1], top[1] + len(ws)
+
+
 def scan(text: bytes, index: Index) -> tuple[int, list[tuple[int, str]], list[tuple[str, float, int]]]:
     """(words, base places (start, label), templates found (label, score, start)) of a text.
 
     Every occurrence of every rare word is looked up, the word of the highest IDF first; each posting votes for the
-    place where its template would start.  Places with votes of two different words (one, if the template has only one
-    rare word) are scored by the IDF weight of the words that stand at their relative positions, and count
-    if the score reaches MIN_SCORE and each key phrase stands within the place, give or take SLACK words.
+    place where its template would start; starts of a template within SLACK of the next are one place, as edits shift it.
+    Places with votes of two different words (one, if the template has only one rare word) are scored by the IDF weight of
+    the words that stand in order at their positions from one of its starts, and count if the score reaches MIN_SCORE and
+    each key phrase stands within the place, give or take SLACK words.
     """
     words = folded_words(text)
     n = len(words)
@@ -110,17 +141,25 @@ def scan(text: bytes, index: Index) -> tuple[int, list[tuple[int, str]], list[tu
             for p in at[w]:
                 votes[t, p - q].add(w)
     best: dict[str, tuple[float, int]] = {}
-    for (t, start), who in sorted(votes.items()):
-        ws = index.words[t]
+    order = sorted(votes)
+    first = 0
+    for k, (t, start) in enumerate(order):
+        if k + 1 < len(order) and order[k + 1][0] == t and order[k + 1][1] - start <= SLACK:
+            continue
+        starts, first = [s for _, s in order[first : k + 1]], k + 1
+        ws, label = index.words[t], index.labels[t]
+        who = set().union(*(votes[t, s] for s in starts))
         if len(who) < min(2, len({w for w in ws if w in index.postings})):
             continue
-        score = sum(index.idf[w] for q, w in enumerate(ws) if 0 <= start + q < n and words[start + q] == w) / index.weight[t]
-        label = index.labels[t]
+        if sum(index.idf[w] for w in ws if w in who or (t, w) not in index.rare) < MIN_SCORE * index.weight[t]:
+            continue
+        weight, low, high = in_order(words, ws, starts, index.idf)
+        score = weight / index.weight[t]
         if score < MIN_SCORE or score <= best.get(label, (0.0, 0))[0]:
             continue
-        low, high = max(0, start - SLACK), min(n, start + len(ws) + SLACK)
+        begin, low, high = low, max(0, low - SLACK), min(n, high + SLACK)
         if all(any(words[p : p + len(key)] == key for p in range(low, high - len(key) + 1)) for key in index.keys[t]):
-            best[label] = (score, max(0, start))
+            best[label] = (score, max(0, begin))
     return n, sorted(places), sorted((label, s, p) for label, (s, p) in best.items())
 
 
