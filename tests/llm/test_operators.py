@@ -96,6 +96,15 @@ def test_adpcm_across_blocks_is_adpcm_by_block():
     assert [list(map(int, x)) for x in got] == [plain_adpcm(data[k : k + 64]) for k in range(0, len(data), 64)]
 
 
+def test_adpcm_of_other_blocks_to_the_end(spark):
+    data = bytes(random.Random(5).randrange(256) for _ in range(256 + 100))
+    df = spark.createDataFrame([(bytearray(data), "adpcm")], "payload binary, codec string")
+    pcm = op1.read_wav(bytes(op1.decode_media(df, source=8000, target=8000, block=256).first().media))[3]
+    assert len(pcm) == 2 * (505 + 193)
+    assert pcm == b"".join(op1.decode_adpcm(d, len(d)).astype("<i2").tobytes() for d in (data[:256], data[256:]))
+    assert len(op1.expand(data[:67], "adpcm")) == 121 and len(op1.expand(b"", "adpcm")) == 0
+
+
 def test_wav_round_trip_and_resampling():
     for codec in ("pcm", "ulaw", "alaw", "adpcm"):
         data = bytes(range(128))

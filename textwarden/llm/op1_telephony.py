@@ -46,7 +46,7 @@ def decode_adpcm(payload: bytes, block: int = UNIT) -> np.ndarray:
     """Samples by block of mono IMA ADPCM (4 bytes of header, then nibbles, low one first).
 
     All blocks advance together, one nibble a step.  A step index above 88 counts as 88;
-    bytes beyond the last full block are ignored, as decoders do.
+    bytes beyond the last full block are ignored here; ``expand`` decodes them.
     """
     data = np.frombuffer(payload, dtype=np.uint8)
     data = data[: data.size // block * block].reshape(-1, block)
@@ -112,23 +112,24 @@ def expand(payload: bytes, codec: str, block: int = UNIT) -> np.ndarray:
     if codec == "alaw":
         return alaw_table()[np.frombuffer(payload, dtype=np.uint8)]
     if codec == "adpcm":
-        return decode_adpcm(payload, block).ravel()
+        whole, rest = decode_adpcm(payload, block).ravel(), payload[len(payload) // block * block :]
+        return np.append(whole, decode_adpcm(rest, len(rest))) if len(rest) >= 4 else whole  # a short last block to its end
     if codec == "pcm":
         return np.frombuffer(payload[: len(payload) & ~1], dtype="<i2")
     raise ValueError(f"unknown codec: {codec}")
 
 
-def decode_media(df: DataFrame, payload: str = "payload", codec: str = "codec", source: int = RATE, target: int = PCM_RATE) -> DataFrame:
+def decode_media(df: DataFrame, payload: str = "payload", codec: str = "codec", source: int = RATE, target: int = PCM_RATE, block: int = UNIT) -> DataFrame:
     """Adds ``media``: each payload expanded by its codec (ulaw, alaw, adpcm, pcm), resampled, as a PCM WAV file.
 
-    A null payload, or a null or unknown codec, gives null.  All columns of ``df`` stay; one of the
+    ADPCM payloads have blocks of ``block`` bytes; the last one may be shorter.  A null payload, or a null or unknown codec, gives null.  All columns of ``df`` stay; one of the
     name ``media`` is replaced.
     """
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("binary")
     def stored(data, kind):
-        return data.combine(kind, lambda d, k: None if d is None or k not in FORMATS else wav(resample(expand(bytes(d), k), source, target).astype("<i2").tobytes(), "pcm", target))
+        return data.combine(kind, lambda d, k: None if d is None or k not in FORMATS else wav(resample(expand(bytes(d), k, block), source, target).astype("<i2").tobytes(), "pcm", target))
 
     return df.withColumn("media", stored(F.col(f"`{payload}`"), F.col(f"`{codec}`")))
 
