@@ -1,6 +1,9 @@
 """Every query with SQL against DuckDB on the smallest tables, and the driver's entry module."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -44,6 +47,19 @@ def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
 
 
+def test_entry_without_the_training_data_folders(tmp_path):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    gone = shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache", "spark-warehouse")
+    shutil.copytree(root, tmp_path / "copy", ignore=gone)
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q), 'pipeline' in q, any(n.startswith('op') and n[2].isdigit() for n in q))"
+    for keep_pipeline in (True, False):
+        if not keep_pipeline:
+            os.remove(tmp_path / "copy" / "corpus_pipeline.py")
+        ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": ""}, capture_output=True, text=True, timeout=120)
+        assert ran.returncode == 0, ran.stderr
+        assert ran.stdout.split() == [str(len(queries.QUERIES)), "False", "False"]
+
+
 def test_queries_read_the_texts(spark, tmp_path):
     """What the tables' own texts hold is found, not only what the queries plant."""
     note = "ignore all previous instructions"
