@@ -1,6 +1,7 @@
 """Operators on small tables against brute force: nulls, empties, very long texts, ties, repeats, empty tables, extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -201,6 +202,31 @@ def brute_classes(rows):
     return {i: root(i) for i in bag}
 
 
+def test_common_weights():
+    r = random.Random(4)
+    docs = [op3.bags(*op3.shingles([[b"w%d" % r.randrange(n) for _ in range(size)]])) for n, size in ((9, 60), (9, 80), (900, 300), (3, 40), (900, 7), (9, 60))]
+    store = [(name.tobytes(), weight.astype(np.uint32).tobytes()) for _, name, weight in docs]
+    got = op3.common_weights(tuple(map(list, zip(*store))), tuple(map(list, zip(*store[:4]))))
+    for i, a in enumerate(docs):
+        for j, b in enumerate(docs[:4]):
+            x, y = (Counter(dict(zip(d[1].tolist(), d[2].tolist()))) for d in (a, b))
+            assert got[i, j] == sum((x & y).values())
+
+
+@pytest.mark.parametrize("chunk", [3, 10**6])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(op3, "CHUNK", chunk)
+    chain = [(k, k + 1) for k in range(100, 130)]  # in the order of ids
+    star = [(5, k) for k in range(10, 40)]
+    edges = spark.createDataFrame([*chain, *star, (5, 10), (2, 1), (1, 2), (-7, 9)], "a bigint, b bigint").repartition(8)
+    with op3.Scratch(spark) as scratch:
+        got = {r.d: r.c for r in op3.components(edges, scratch).collect()}
+        assert got == {**{k: 100 for k in range(100, 131)}, **{k: 5 for k in [5, *range(10, 40)]}, 1: 1, 2: 1, -7: -7, 9: -7}
+        assert op3.components(edges.limit(0), scratch).count() == 0
+        paths = [p for p in scratch.paths]
+    assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
 @pytest.mark.parametrize("small", [32, 2])
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(op3, "SMALL_BUCKET", small)
@@ -224,6 +250,9 @@ def test_near_duplicates(spark, monkeypatch, small):
 
 
 def test_first_of_class(spark, empty):
+    clash = spark.createDataFrame([(1, "a b c d e f g", 5, 6, 7), (2, "A b c d e f g.", 5, 6, 7), (3, None, 1, 1, 1), (3, None, 1, 1, 1)], "doc_id bigint, text string, _gone int, d int, class int")
+    assert sorted(tuple(r) for r in op3.first_of_class(clash).collect()) == [(1, "a b c d e f g", 5, 6, 7), (3, None, 1, 1, 1), (3, None, 1, 1, 1)]
+    assert sorted(tuple(r) for r in op3.near_duplicates(clash).collect()) == [(1, 1), (2, 1), (3, 3), (3, 3)]
     kept = op3.first_of_class(table(spark, [(1, "a b c d e f g"), (2, "A b c d e f g."), (3, "other words here"), (None, "a b c d e f g")]))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
     assert op3.first_of_class(empty).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -28,10 +30,13 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share.  Where none is set, a local session gets a temporary one; a cluster's is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="textwarden-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -43,11 +48,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a compressed table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cuts the lineage with a compressed table in the shared folder.  It stays there: what is returned reads it."""
+    return Scratch(df.sparkSession).table(df)
+
+
+class Scratch:
+    """Tables in the shared folder, written at once and read again; as a context, all go at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        self.paths.clear()
+
+
+def few(df: DataFrame, most: int) -> bool:
+    """Whether ``df`` (a staged table) has at most so many rows, and so may be broadcast."""
+    return df.count() <= most
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def map_rows(df: DataFrame, work: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:

@@ -8,25 +8,28 @@ two bags agree in a component with the probability of their weighted Jaccard sim
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, folded_words, map_rows, staged, table, utf8
+from .common import Scratch, few, folded_words, map_rows, staged, table, unused, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Signature components and bands; at a similarity of 0.8, a pair shares no band with a chance of 3e-6.
 COMPONENTS, BANDS = 96, 24
-#: Ids that are broadcast to pick the candidates' texts; more are joined.
+#: Rows of (id, id) that are broadcast; more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
 #: Members up to which a bucket's unlinked members are compared pair by pair; larger buckets are in blocks.
 SMALL_BUCKET = 32
-#: Part of the components in which the signatures of a pair at a similarity of 0.8 agree at least.
-LEAST_AGREEMENT = 0.6
-#: Rows of a block of queries or of members.
-BLOCK = 500
+#: Rows and bytes of a block of queries or of members, and blocks of queries that a round compares with all members.
+BLOCK, BLOCK_BYTES, BLOCKS_AT_ONCE = 1000, 8 << 20, 2
+#: Edges that one worker joins to trees at once.
+CHUNK = 200_000
 GROUP_BYTES = 2 << 20
 
 U = np.uint64
@@ -150,44 +153,74 @@ def _sign(ids, texts):
 
 
 def _bags_of(ids, texts):
-    """Bags and signatures of candidates: total weight, signature, shingles and weights as bytes."""
+    """Bags of candidates: total weight, shingles and weights as bytes."""
     for at, end in _groups(texts):
         words = [folded_words(t) for t in texts[at:end]]
         doc, name, weight = bags(*shingles(words))
-        sig = signatures(doc, name, weight, len(words)).astype(np.uint32)
         edge = np.searchsorted(doc, np.arange(len(words) + 1))
         for k, i in enumerate(ids[at:end]):
             one = slice(edge[k], edge[k + 1])
-            yield i, int(weight[one].sum()), sig[k].tobytes(), name[one].tobytes(), weight[one].astype(np.uint32).tobytes()
+            yield i, int(weight[one].sum()), name[one].tobytes(), weight[one].astype(np.uint32).tobytes()
 
 
-_BAGS = "d bigint, total bigint, sig binary, bag binary, weights binary"
+_BAGS = "d bigint, total bigint, bag binary, weights binary"
 
 
 def _bag(bag: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bag, dtype=U), np.frombuffer(weights, dtype=np.uint32).astype(np.int64)
 
 
-def _likely(least: float):
-    """Pairs whose signatures agree in at least the part ``least`` of their components."""
-
-    def work(a, b, first, second):
-        agree = (np.frombuffer(b"".join(first), dtype=np.uint32) == np.frombuffer(b"".join(second), dtype=np.uint32)).reshape(len(a), -1).mean(axis=1)
-        for k in np.flatnonzero(agree >= least):
-            yield a[k], b[k]
-
-    return work
-
-
 def _verify(threshold: float):
-    def work(a, b, bag1, weights1, bag2, weights2):
-        for i, j, *rest in zip(a, b, bag1, weights1, bag2, weights2, strict=True):
+    def work(x, y, bag1, weights1, bag2, weights2):
+        for i, j, *rest in zip(x, y, bag1, weights1, bag2, weights2, strict=True):
             if overlap(_bag(*rest[:2]), _bag(*rest[2:])) >= threshold:
-                yield i, j
+                yield min(i, j), max(i, j)
 
     return work
 
 
+def _units(bags: list[bytes], weights: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, name) of the units of several bags: the t-th copy of a shingle is a unit of its own, so that the common weight of
+    two bags is the number of their common units."""
+    row = np.repeat(np.arange(len(bags)), [len(b) // 8 for b in bags])
+    name, weight = _bag(b"".join(bags), b"".join(weights))
+    nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    return np.repeat(row, weight), np.where(nth > 0, _mix(np.repeat(name, weight) + nth.astype(U) * _C2), np.repeat(name, weight))
+
+
+def common_weights(a: tuple[list[bytes], list[bytes]], b: tuple[list[bytes], list[bytes]]) -> np.ndarray:
+    """Common weight of each bag of one list with each of another: units of many bags by a product of matrices, the others
+    one by one."""
+    (ra, na), (rb, nb) = _units(*a), _units(*b)
+    both = np.intersect1d(na, nb)
+    out = np.zeros((len(a[0]), len(b[0])), dtype=np.float32)
+    if not both.size:
+        return out
+
+    def held(row, name):
+        col = np.minimum(np.searchsorted(both, name), both.size - 1)
+        there = both[col] == name
+        order = np.argsort(col[there], kind="stable")
+        return row[there][order], col[there][order]
+
+    (ra, ca), (rb, cb) = held(ra, na), held(rb, nb)
+    fa, fb = np.bincount(ca, minlength=both.size), np.bincount(cb, minlength=both.size)
+    dense = fa * fb > out.size / 200
+    columns = np.flatnonzero(dense)
+    for at in range(0, columns.size, 2048):
+        chosen = columns[at : at + 2048]
+        x, y = np.zeros((out.shape[0], chosen.size), dtype=np.float32), np.zeros((out.shape[1], chosen.size), dtype=np.float32)
+        for m, rows, cols in ((x, ra, ca), (y, rb, cb)):
+            place = np.minimum(np.searchsorted(chosen, cols), chosen.size - 1)
+            one = chosen[place] == cols
+            m[rows[one], place[one]] = 1
+        out += x @ y.T
+    sa, sb = np.cumsum(fa) - fa, np.cumsum(fb) - fb
+    for k in np.flatnonzero(~dense):
+        out[np.ix_(ra[sa[k] : sa[k] + fa[k]], rb[sb[k] : sb[k] + fb[k]])] += 1
+    return out
+
+
 def _closing(threshold: float):
     """Compares each query with all members of a block at once; tells the links that join classes, but none twice."""
 
@@ -200,38 +233,136 @@ def _closing(threshold: float):
             return c
 
         if len(members) and len(queries):
-            sizes = np.array([len(b) // 8 for b in members["bag"]])
-            every, weights = _bag(b"".join(members["bag"]), b"".join(members["weights"]))
-            starts = np.cumsum(sizes) - sizes
-            totals, classes, ids = (members[n].to_numpy() for n in ("total", "c", "d"))
-            for q in queries.itertuples():
-                own, own_weights = _bag(q.bag, q.weights)
-                at = np.minimum(np.searchsorted(own, every), own.size - 1)
-                low = np.add.reduceat(np.where(own[at] == every, np.minimum(weights, own_weights[at]), 0), starts)
-                near = np.flatnonzero((low >= threshold * (totals + q.total - low)) & (classes != q.c))
-                _, one = np.unique(classes[near], return_index=True)
-                for k in near[one]:
-                    a, b = root(classes[k]), root(q.c)
-                    if a != b:
-                        up[max(a, b)] = min(a, b)
-                        out.append((min(ids[k], q.d), max(ids[k], q.d)))
-        return pd.DataFrame(out, columns=["a", "b"])
+            low = common_weights((list(members["bag"]), list(members["weights"])), (list(queries["bag"]), list(queries["weights"]))).astype(float)
+            top = members["total"].to_numpy()[:, None] + queries["total"].to_numpy()[None, :] - low
+            c, q = members["c"].to_numpy(), queries["c"].to_numpy()
+            near = np.argwhere((low / top >= threshold) & (c[:, None] != q[None, :]))
+            for i, j in {(int(min(c[m], q[n])), int(max(c[m], q[n]))) for m, n in near}:
+                if root(i) != root(j):
+                    up[max(root(i), root(j))] = min(root(i), root(j))
+                    out.append((i, j))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return work
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(d, c): the smallest id of each linked node's component, by least labels and pointer jumping."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = checkpointed(both.groupBy(F.col("a").alias("d")).agg(F.least(F.col("d"), F.min("b")).alias("c")))
+def _trees(level: int):
+    """Each node of a chunk of edges with the root of its tree in that chunk: the node of the least hash."""
+    seed = _mix(np.array([level + 1], dtype=U))
+
+    def joined(chunk: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = [np.concatenate([b.column(k).to_numpy() for b in chunk]) for k in (0, 1)]
+        nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+        rank = _mix(nodes.view(U) ^ seed)
+        order = np.argsort(rank, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(order.size)
+        x, y = place[at[: ends[0].size]], place[at[ends[0].size :]]
+        up = np.arange(order.size)
+        while (up[x] != up[y]).any():
+            np.minimum.at(up, np.maximum(up[x], up[y]), np.minimum(up[x], up[y]))
+            while (up[up] != up).any():
+                up = up[up]
+        root = order[up[place]]
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(rank[root].view(np.int64)), pa.array(nodes[root])], names=["d", "h", "r"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, n = [], 0
+        for batch in batches:
+            chunk.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK:
+                yield joined(chunk)
+                chunk, n = [], 0
+        if n:
+            yield joined(chunk)
+
+    return run
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(d, c): the smallest id of each linked node's component.
+
+    Workers join chunks of edges to trees.  A node that stands in several chunks links their roots, and those links are
+    the edges of the next turn.  As roots are the nodes of the least hash, another one each turn, a third of the nodes goes
+    a turn at least, whatever the order of ids; commonly the links left fit in one chunk at once.  A node's roots are
+    at most as many as there are chunks.
+    """
+    turns, now = [], edges.select("a", "b")
     while True:
-        least = both.join(label, both.b == label.d).groupBy(F.col("a").alias("d")).agg(F.min("c").alias("m"))
-        near = label.join(least, "d").select("d", F.col("c").alias("was"), F.least("c", "m").alias("c"))
-        up = label.select(F.col("d").alias("c"), F.col("c").alias("above"))
-        now = checkpointed(near.join(up, "c").select("d", "was", F.least("c", "above").alias("c")))
-        label = now.select("d", "c")
-        if not now.where("c <> was").limit(1).count():
-            return label
+        trees = now.mapInArrow(_trees(len(turns)), "d bigint, h bigint, r bigint")
+        roots = F.transform(F.array_sort(F.collect_set(F.struct("h", "r"))), lambda x: x["r"])
+        found = scratch.table(trees.groupBy("d").agg(roots.alias("roots")))
+        first = F.element_at("roots", 1)
+        turns.append(found.select("d", first.alias("c")))
+        left = found.where(F.size("roots") > 1).select(F.explode("roots").alias("a"), first.alias("b")).where("a <> b")
+        n = left.count()
+        if not n:
+            break
+        now = left.repartition(-(-n // CHUNK), "b")
+    label = turns.pop()
+    while turns:
+        above = label.toDF("c", "root")
+        above = F.broadcast(above) if few(above, BROADCAST_IDS) else above
+        label = scratch.table(turns.pop().join(above, "c", "left").select("d", F.coalesce("root", "c").alias("c")))
+    least = scratch.table(label.groupBy("c").agg(F.min("d").alias("least")))
+    return scratch.table(label.join(F.broadcast(least) if few(least, BROADCAST_IDS) else least, "c").select("d", F.col("least").alias("c")))
+
+
+def _renamed(ids: DataFrame, col: str, label: DataFrame) -> DataFrame:
+    """``ids`` with the class of ``col`` by ``label`` (d, c) in its place; what has no label stays."""
+    names = label.toDF(col, "_class")
+    names = F.broadcast(names) if few(label, BROADCAST_IDS) else names
+    return ids.join(names, col, "left").withColumn(col, F.coalesce("_class", col)).drop("_class")
+
+
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """(d, class) of each non-null ``key`` whose row has words; see near_duplicates().
+
+    No bucket's pairs are emitted: members are compared with their bucket's smallest member and with one chosen by hash.
+    Each document meets two of its buckets' so.  Then, in buckets that still hold several classes, the members outside
+    the largest one are compared with all members of other classes there: pair by pair in small buckets, in blocks in
+    large ones.  So no link in a bucket is missed between classes, and none is needed inside one.
+    """
+    rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("bigint").alias("d"), utf8(f"`{text}`").alias("t"))
+    with Scratch(df.sparkSession) as scratch:
+        signed = scratch.table(map_rows(rows, _sign, "d bigint, content binary, bands array<bigint>"))
+        nodes = signed.groupBy("content").agg(F.min("d").alias("d"), F.first("bands").alias("bands"))
+        member = nodes.select("d", F.explode("bands").alias("k"))
+        bucket = member.groupBy("k").agg(F.min("d").alias("p"), F.min_by("d", F.xxhash64("d")).alias("q"), F.count("*").alias("n")).where("n > 1")
+        member = scratch.table(member.join(bucket, "k"))
+        pivot = scratch.table(member.groupBy("d").agg(F.min("p").alias("p"), F.min("q").alias("q")))
+        ids = pivot.select("d")
+        held = scratch.table(map_rows(rows.join(F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids, "d", "left_semi"), _bags_of, _BAGS))
+        bag = lambda x, n: held.select(F.col("d").alias(x), F.col("bag").alias(f"bag{n}"), F.col("weights").alias(f"weights{n}"))
+
+        # A document of many buckets is first compared with two of its pivots only; what that leaves open is closed below.
+        pairs = pivot.select(F.col("d").alias("x"), F.explode(F.array_distinct(F.array("p", "q"))).alias("y")).where("x <> y")
+        full = pairs.join(bag("x", 1), "x").join(bag("y", 2), "y").select("x", "y", "bag1", "weights1", "bag2", "weights2")
+        label = components(scratch.table(map_rows(full, _verify(threshold), "a bigint, b bigint")), scratch)
+
+        here = _renamed(member.select("k", "d", "n", F.col("d").alias("c")), "c", label)
+        open_ = here.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
+        here = scratch.table(here.join(open_, "k"))
+        small = here.where(F.col("n") <= SMALL_BUCKET)
+        other = small.select("k", F.col("d").alias("e"), F.col("c").alias("f"))
+        pairs = small.join(other, "k").where("d < e AND c <> f").groupBy("d", "e").agg(F.first("c").alias("c"), F.first("f").alias("f"))
+        full = pairs.join(bag("d", 1), "d").join(bag("e", 2), "e").select(F.struct("c", "f"), F.lit(0), "bag1", "weights1", "bag2", "weights2")
+        links = [scratch.table(map_rows(full, _verify_classes(threshold), "a bigint, b bigint"))]
+        many = here.where(F.col("n") > SMALL_BUCKET).select("k", "d", "c")
+        if not many.isEmpty():
+            links += _closed(many, held, threshold, scratch)
+        links = [x for x in links if not x.isEmpty()]
+        node = signed.groupBy("content").agg(F.min("d").alias("node"), F.count("*").alias("n")).where("n > 1").select("content", "node")
+        node = scratch.table(node)
+        named = signed.select("d", "content").join(F.broadcast(node) if few(node, BROADCAST_IDS) else node, "content", "left")
+        named = _renamed(named.select("d", F.coalesce("node", "d").alias("class")), "class", label)
+        if links:
+            found = links[0]
+            for x in links[1:]:
+                found = found.union(x)
+            named = _renamed(named, "class", components(found, scratch))
+        return staged(named.groupBy("d").agg(F.min("class").alias("class")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -240,87 +371,62 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
     Texts of equal words are one node.  Null, empty and wordless texts, and rows of a null key, have no links; the
     former are classes of their own, the latter's class is null.  Rows that share a key count as one document with
-    several texts; other columns are not read.  ``key`` is a whole number.
-
-    No bucket's pairs are emitted: members are compared with their bucket's smallest member and with one chosen by hash.
-    Each document meets two of its buckets' so.  Then, in buckets that still hold several classes, the members outside the largest one are compared with all members
-    of other classes there: pair by pair in small buckets, in blocks in large ones.  So no
-    link in a bucket is missed between classes, and none is needed inside one.  Pairs whose signatures agree in
-    less than LEAST_AGREEMENT are taken for unlike: at the threshold, that is five standard deviations away.
+    several texts; other columns are not read, whatever their names; an empty table gives no rows; ties can't
+    arise.  ``key`` is a whole number.  The table of (key, class) that the result reads stays in the shared folder.
     """
-    rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("bigint").alias("d"), utf8(f"`{text}`").alias("t"))
-    signed = staged(map_rows(rows, _sign, "d bigint, content binary, bands array<bigint>"))
-    nodes = signed.groupBy("content").agg(F.min("d").alias("d"), F.first("bands").alias("bands"))
-    member = nodes.select("d", F.explode("bands").alias("k"))
-    bucket = member.groupBy("k").agg(F.min("d").alias("p"), F.min_by("d", F.xxhash64("d")).alias("q"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = staged(member.join(bucket, "k"))
-    ids = checkpointed(member.select("d").distinct())
-    small = ids.count() <= BROADCAST_IDS
-    held = staged(map_rows(rows.join(F.broadcast(ids) if small else ids, "d", "left_semi"), _bags_of, _BAGS))
-    least = threshold - (0.8 - LEAST_AGREEMENT)
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        sig = lambda x, name: held.select(F.col("d").alias(x), F.col("sig").alias(name))
-        bag = lambda x, n: held.select(F.col("d").alias(x), F.col("bag").alias(f"bag{n}"), F.col("weights").alias(f"weights{n}"))
-        both = pairs.join(sig("a", "first"), "a").join(sig("b", "second"), "b").select("a", "b", "first", "second")
-        likely = map_rows(both, _likely(least), "a bigint, b bigint").distinct()
-        full = likely.join(bag("b", 2), "b").join(bag("a", 1), "a").select("a", "b", "bag1", "weights1", "bag2", "weights2")
-        return checkpointed(map_rows(full, _verify(threshold), "a bigint, b bigint").distinct())
-
-    # A document of many buckets is first compared with two of its pivots only; what that leaves open is closed below.
-    pivot = member.groupBy("d").agg(F.min("p").alias("p"), F.min("q").alias("q"))
-    pair = lambda p: pivot.select(F.least(p, "d").alias("a"), F.greatest(p, "d").alias("b")).where("a < b")
-    tested = checkpointed(pair("p").union(pair("q")).distinct())
-    edges = linked(tested)
-    label = components(edges)
-
-    here = member.select("k", "d").join(label, "d", "left").select("k", "d", F.coalesce("c", "d").alias("c"))
-    open_ = here.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
-    here = checkpointed(here.join(open_, "k"))
-    classes = here.groupBy("k", "c").agg(F.count("*").alias("n"))
-    main = checkpointed(classes.groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size")))
-    few = here.join(main.where(F.col("size") <= SMALL_BUCKET), "k")
-    out = few.where("c <> main").select("k", F.col("d").alias("x"), F.col("c").alias("cx"))
-    pairs = out.join(few, "k").where("c <> cx").select(F.least("d", "x").alias("a"), F.greatest("d", "x").alias("b")).distinct()
-    found = linked(checkpointed(pairs.join(tested, ["a", "b"], "left_anti")))
-    many = checkpointed(here.join(main.where(F.col("size") > SMALL_BUCKET).select("k"), "k"))
-    if many.limit(1).count():
-        found = found.union(_closed(many, held, threshold))
-    if found.limit(1).count():
-        label = components(edges.union(found))
-    node = signed.groupBy("content").agg(F.min("d").alias("node"))
-    named = signed.select("d", "content").join(node, "content").join(label.withColumnRenamed("d", "node"), "node", "left")
-    classes = named.select("d", F.coalesce("c", "node").alias("class")).groupBy("d").agg(F.min("class").alias("class"))
-    back = df.select(F.col(f"`{key}`"), F.col(f"`{key}`").cast("bigint").alias("d"))
-    return back.join(classes, "d", "left").select(F.col(f"`{key}`"), F.coalesce("class", "d").alias("class_id"))
-
-
-def _closed(many: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    back = df.select(F.col(f"`{key}`"), F.col(f"`{key}`").cast("bigint").alias("_d"))
+    found = back.join(classes(df, key, text, threshold), F.col("_d") == F.col("d"), "left")
+    return found.select(F.col(f"`{key}`"), F.coalesce("class", "_d").alias("class_id"))
+
+
+def _verify_classes(threshold: float):
+    def work(pair, _, bag1, weights1, bag2, weights2):
+        for p, *rest in zip(pair, bag1, weights1, bag2, weights2, strict=True):
+            if overlap(_bag(*rest[:2]), _bag(*rest[2:])) >= threshold:
+                yield min(p["c"], p["f"]), max(p["c"], p["f"])
+
+    return work
+
+
+def _closed(many: DataFrame, held: DataFrame, threshold: float, scratch: Scratch) -> list[DataFrame]:
     """Links between classes in large buckets (k, d, c).  Buckets that share members are one group; the documents outside the
-    group's largest class are queries against all of the group, both in blocks, each pair of blocks one task's group."""
+    group's largest class are queries against all of the group, both in blocks, each pair of blocks one task's group.
+
+    A round takes BLOCKS_AT_ONCE blocks of queries, so its shuffle holds each bag a few times, however large the group.
+    """
     here = many.select("k", "c").distinct()
-    star = here.join(here.groupBy("k").agg(F.min("c").alias("b")), "k").where("c <> b").select(F.col("c").alias("a"), "b").distinct()
-    rows = many.select("d", "c").distinct().join(components(star).toDF("c", "s"), "c")
-    classes = rows.groupBy("s", "c").agg(F.count("*").alias("n"))
-    blocks = lambda n: F.ceil(n / F.lit(float(BLOCK))).cast("bigint")
-    size = classes.groupBy("s").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("top"))
-    size = checkpointed(size.where(F.col("all") > F.col("top")).select("s", "main", blocks(F.col("all")).alias("nm"), blocks(F.col("all") - F.col("top")).alias("nq")))
-    both = rows.join(size, "s")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    star = here.join(here.groupBy("k").agg(F.min("c").alias("b")), "k").where("c <> b").select(F.col("c").alias("a"), "b")
+    rows = many.select("d", "c").distinct().join(components(scratch.table(star.distinct()), scratch).toDF("c", "s"), "c")
+    rows = scratch.table(rows.join(held, "d"))
+    sizes = rows.groupBy("s", "c").agg(F.count("*").alias("n"), F.sum(F.lit(12) * F.col("total")).alias("bytes"))
+    sizes = sizes.groupBy("s").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "c", "bytes")).alias("top"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / F.lit(float(BLOCK)), size / F.lit(float(BLOCK_BYTES)))).cast("bigint")
+    n, top = F.col("n"), F.col("top")
+    sizes = scratch.table(sizes.where(n > top["n"]).select("s", "main", blocks(n, F.col("bytes")).alias("nm"), blocks(n - top["n"], F.col("bytes") - top["bytes"]).alias("nq")))
+    both = rows.join(F.broadcast(sizes) if few(sizes, BROADCAST_IDS) else sizes, "s")
+    every = lambda first, last: F.explode(F.sequence(first, last))
     own = lambda n: F.pmod(F.xxhash64("d"), F.col(n))
     cols = ["s", "m", "q", "d", "c", "total", "bag", "weights"]
-    members = both.withColumn("m", own("nm")).withColumn("q", every("nq")).join(held, "d").select(cols).toDF(*cols)
-    queries = both.where("c <> main").withColumn("q", own("nq")).withColumn("m", every("nm")).join(held, "d").select(cols).toDF(*cols)
-    found = members.groupBy("s", "m", "q").cogroup(queries.groupBy("s", "m", "q")).applyInPandas(_closing(threshold), "a bigint, b bigint")
-    return checkpointed(found.distinct())
+    links = []
+    for first in range(0, sizes.agg(F.max("nq")).first()[0] or 0, BLOCKS_AT_ONCE):
+        last = first + BLOCKS_AT_ONCE - 1
+        now = both.where(F.col("nq") > first)
+        members = now.withColumn("m", own("nm")).withColumn("q", every(F.lit(first).cast("bigint"), F.least(F.lit(last), F.col("nq") - 1))).select(cols).toDF(*cols)
+        queries = now.where("c <> main").withColumn("q", own("nq")).where(F.col("q").between(first, last)).withColumn("m", every(F.lit(0).cast("bigint"), F.col("nm") - 1)).select(cols).toDF(*cols)
+        found = members.groupBy("s", "m", "q").cogroup(queries.groupBy("s", "m", "q")).applyInPandas(_closing(threshold), "a bigint, b bigint")
+        links.append(scratch.table(found.distinct()))
+    return links
 
 
 def first_of_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row of each class's smallest key, and all rows of a null key; all columns stay."""
-    found = near_duplicates(df, key, text)
-    gone = checkpointed(found.where(F.col(f"`{key}`") != F.col("class_id")).select(F.col(f"`{key}`").alias("_gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return df.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    """The rows of each class's smallest key, and all rows of a null key or without words; all columns stay, whatever their names.
+
+    Null, empty and wordless texts, repeated rows and empty tables are as in near_duplicates(): rows that share a key stay or go
+    together."""
+    name = unused(df, "_gone")
+    gone = classes(df, key, text).where("d <> class").select(F.col("d").alias(name))
+    gone = F.broadcast(gone) if few(gone, BROADCAST_IDS) else gone
+    return df.join(gone, F.col(f"`{key}`").cast("bigint") == F.col(name), "left_anti")
 
 
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
