@@ -65,7 +65,7 @@ def to_java(regex: str, ignore_case: bool = True) -> str:
 
 
 def to_python(regex: str) -> str:
-    """The same expression for Python's ``re`` over str, with explicit ASCII classes."""
+    """The same expression for Python's ``re`` over str, with explicit ASCII classes that no case folding widens."""
     out, k, in_class = [], 0, False
     while k < len(regex):
         c = regex[k]
@@ -73,11 +73,11 @@ def to_python(regex: str) -> str:
             n = regex[k + 1]
             plain = {"s": r"\t\n\f\r ", "d": "0-9", "w": "A-Za-z0-9_"}
             if n in plain:
-                out.append(plain[n] if in_class else f"[{plain[n]}]")
+                out.append(plain[n] if in_class else f"(?-i:[{plain[n]}])")
             elif n in "SDW" and not in_class:
                 out.append(f"[^{plain[n.lower()]}]")
             elif n == "b" and not in_class:
-                out.append(f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
+                out.append(f"(?-i:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))")
             else:
                 out.append(c + n)
             k += 2

@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-from operator import add, or_
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dialect import to_java
 
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names, each with underscores before it until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def col(name: str) -> Column:
+    """A column by its very name, dots or not."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column (or replaces it) as a row of a generator: it is worked out once, and the optimizer neither copies it into
+    what reads it nor moves filters on it below it."""
+    if name not in df.columns:
+        return df.select("*", F.explode(F.array(value)).alias(name))
+    (fresh,) = unused(df, name)
+    out = df.select("*", F.explode(F.array(value)).alias(fresh))
+    return out.select(*[col(c) for c in df.columns if c != name], col(fresh).alias(name))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -18,7 +44,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 #: What counts as white space when texts are trimmed and split (Unicode).
 WHITE = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_WHITE_CLASS = "[" + WHITE.replace(" ", "\\x20", 1) + "]"
+_WHITE = WHITE.replace(" ", "\\x20", 1)
 
 
 def trimmed(text: Column) -> Column:
@@ -27,12 +53,12 @@ def trimmed(text: Column) -> Column:
 
 def fields(text: Column) -> Column:
     """Tokens between white space."""
-    return F.filter(F.split(text, _WHITE_CLASS + "+"), lambda x: x != "")
+    return F.filter(F.split(text, f"[{_WHITE}]+"), lambda x: x != "")
 
 
 def words(text: Column) -> Column:
     """Lower-case tokens of letters and digits only; tokens without any are left out."""
-    return F.filter(F.transform(fields(text), lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{Nd}]", ""))), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.regexp_replace(text, rf"[^\p{{L}}\p{{Nd}}{_WHITE}]+", "")), f"[{_WHITE}]+"), lambda x: x != "")
 
 
 def matches(text: Column, regex: str, ignore_case: bool = False) -> Column:
@@ -40,17 +66,23 @@ def matches(text: Column, regex: str, ignore_case: bool = False) -> Column:
     return text.rlike(to_java(regex, ignore_case))
 
 
-def contains_any(lowered: Column, phrases: list[str]) -> Column:
-    return reduce(or_, [lowered.contains(p) for p in phrases], F.lit(False))
+def literals(values: Sequence[str]) -> Column:
+    """An array of literal strings, made in one call."""
+    quoted = ["'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values]
+    return F.expr("array(" + ", ".join(quoted) + ")") if values else none_of("string")
+
+
+def contains_any(lowered: Column, phrases: Sequence[str]) -> Column:
+    return F.exists(literals(phrases), lambda p: lowered.contains(p))
 
 
-def count_contains(lowered: Column, phrases: list[str]) -> Column:
-    return reduce(add, [lowered.contains(p).cast("int") for p in phrases], F.lit(0))
+def count_contains(lowered: Column, phrases: Sequence[str]) -> Column:
+    return F.size(found(lowered, phrases))
 
 
-def found(lowered: Column, phrases: list[str]) -> Column:
+def found(lowered: Column, phrases: Sequence[str]) -> Column:
     """The phrases that stand in the text."""
-    return F.filter(F.array(*[F.when(lowered.contains(p), F.lit(p)) for p in phrases]), lambda x: x.isNotNull())
+    return F.filter(literals(phrases), lambda p: lowered.contains(p))
 
 
 def entropy(token: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
-from ..functions.text import contains_any, count_contains, fields, let, trimmed, words
+from ..functions.text import WHITE, contains_any, count_contains, fields, let, trimmed, words
 from .scanners import keyword_gate
 
 # Words of the context score.
@@ -20,8 +20,11 @@ PENALTIES = {"dumb-bot": 15, "spam": 10, "documentation": 10, "developer": 5}
 
 def payload_types(text: Column, gate: Column | None = None) -> Column:
     """What a text looks like: ["attack"], or those of dumb-bot, spam, documentation and developer that fit, or ["unknown"]."""
-    low = F.lower(text)
-    gate, role = keyword_gate(low) if gate is None else gate, contains_any(low, lex.ROLE_PHRASES)
+    bound = let(F.lower(text), lambda low: F.struct(low.alias("low"), (keyword_gate(low) if gate is None else gate).alias("gate"), contains_any(low, lex.ROLE_PHRASES).alias("role")))
+    return let(bound, lambda x: _payload_types(x["low"], x["gate"], x["role"]))
+
+
+def _payload_types(low: Column, gate: Column, role: Column) -> Column:
     attack = gate & (role | contains_any(low, lex.EXFILTRATION_PHRASES) | contains_any(low, lex.JAILBREAK_PHRASES))
     bot = ~gate & ~role & (F.octet_length(low) < 300) & (count_contains(low, lex.BOT_WORDS) >= 2)
     spam = ~gate & contains_any(low, ["http://", "https://", ".com", ".net", ".org"]) & contains_any(low, lex.SPAM_WORDS) & ~contains_any(low, lex.MODEL_TERMS)
@@ -54,9 +57,24 @@ def average_word_bytes(text: Column) -> Column:
     return let(words(text), lambda w: F.when(F.size(w) > 0, F.octet_length(F.array_join(w, "")) / F.size(w)))
 
 
+def shouts(text: Column) -> Column:
+    """Whether all_caps_run() is 3 or more."""
+    letters = F.regexp_replace(F.regexp_replace(text, rf"[^\p{{L}}{WHITE}]+", ""), f"[{WHITE}]+", " ")
+    return text.rlike(r"\p{Lu}") & letters.rlike(r"(?:\A| )\p{Lu}{2,} \p{Lu}{2,} \p{Lu}{2,}(?: |\z)")
+
+
+def has_long_field(text: Column, octets: int = 40) -> Column:
+    """Whether a token has more bytes than ``octets``."""
+    may = text.rlike(rf"\S{{{octets + 1}}}") | (F.octet_length(text) > F.length(text)) & text.rlike(rf"\S{{{octets // 4 + 1}}}")
+    return may & F.exists(fields(text), lambda t: F.octet_length(t) > octets)
+
+
 def context_score(text: Column) -> Column:
     """0 to 100: how much a text reads like ordinary prose, documentation or developer talk."""
-    low = F.lower(text)
+    return let(F.struct(text.alias("t"), F.lower(text).alias("low")), lambda x: _context_score(x["t"], x["low"]))
+
+
+def _context_score(text: Column, low: Column) -> Column:
     points = lambda c, n: F.when(c, n).otherwise(0)
     total = (
         points(F.octet_length(low) > 300, 15)
@@ -69,9 +87,9 @@ def context_score(text: Column) -> Column:
         + points(contains_any(low, POLITE), 5)
         + points(trimmed(low).rlike(r"[.!?]\z"), 5)
         + points(F.coalesce(average_word_bytes(low).between(4.0, 8.0), F.lit(False)), 5)
-        - points(all_caps_run(text) >= 3, 15)
+        - points(shouts(text), 15)
         - points(text.rlike("[!?]{3,}"), 10)
-        - points(F.exists(fields(low), lambda t: F.octet_length(t) > 40), 10)
+        - points(has_long_field(low), 10)
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), total))
 

@@ -1,13 +1,14 @@
 """Rule matching: which rules are found in which variants of a text.
 
-Each rule has strings of which any match must contain one; only where one stands does the regex run.  The strings are
-derived from the regex itself.
+Each rule has clauses, lists of strings of each of which any match must contain one; only where they hold does the regex
+run.  The clauses are derived from the regex itself.
 """
 
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,49 +24,52 @@ except ImportError:  # Python before 3.11
     import sre_parse as _p
 
 CATEGORIES = list(dict.fromkeys(r.category for r in RULES))
+LANGUAGES = {"en": "English", "fr": "French", "es": "Spanish", "de": "German", "ja": "Japanese"}
 MATCH = "array<struct<rule_id:string,category:string,severity:int>>"
 
 
-def _needed(tokens) -> list[str]:
-    """Strings of which any match holds one (lower case); none if that can't be told."""
-    best: list[str] = []
-    run = ""
+Clause = tuple[str, ...]
+
+
+def _grade(clause: list[str]) -> tuple[int, int]:
+    """What makes a clause tell more: long strings, and few of them."""
+    return min(map(len, clause)), -len(clause)
 
-    def offer(found: list[str]):
-        nonlocal best
-        if found and (not best or (min(map(len, found)), -len(found)) > (min(map(len, best)), -len(best))):
-            best = found
 
+def _clauses(tokens) -> list[list[str]]:
+    """Of any match, lists of strings (lower case) of each of which it holds one."""
+    out: list[list[str]] = []
+    run = ""
     for op, arg in [*tokens, (None, None)]:
-        if op is _c.LITERAL and chr(arg).lower() == chr(arg).lower().lower():
+        if op is _c.LITERAL:
             run += chr(arg).lower()
             continue
         if run:
-            offer([run])
+            out.append([run])
             run = ""
         if op is _c.SUBPATTERN:
-            offer(_needed(arg[3]))
+            out += _clauses(arg[3])
         elif op is _c.BRANCH:
-            parts = [_needed(b) for b in arg[1]]
-            offer([s for p in parts for s in p] if all(parts) else [])
+            parts = [_clauses(b) for b in arg[1]]
+            if all(parts):
+                out.append([s for p in parts for s in max(p, key=_grade)])
         elif op in (_c.MAX_REPEAT, _c.MIN_REPEAT) and arg[0] > 0:
-            offer(_needed(arg[2]))
-    return best
+            out += _clauses(arg[2])
+    return out
 
 
 @cache
-def needed(regex: str) -> tuple[str, ...]:
-    """Of a rule's regex, lower-case strings of which any match contains one; () if none is known."""
-    return tuple(dict.fromkeys(_needed(_p.parse(to_python(regex)))))
+def clauses(regex: str) -> tuple[Clause, ...]:
+    """Of a rule's regex, lists of lower-case strings; any match contains a string of each.  Those that tell most come first."""
+    found = dict.fromkeys(tuple(dict.fromkeys(c)) for c in _clauses(_p.parse(to_python(regex))))
+    if not found:
+        raise AssertionError(f"each rule must have a needed string: {regex}")
+    return tuple(sorted(found, key=_grade, reverse=True))
 
 
-@cache
-def all_needed() -> frozenset[str]:
-    """The strings of all rules; a text without any of them matches no rule."""
-    found = [needed(r.regex) for r in RULES]
-    if not all(found):
-        raise AssertionError("each rule must have a needed string: " + ", ".join(r.rule_id for r, n in zip(RULES, found, strict=True) if not n))
-    return frozenset(s for n in found for s in n)
+def needed(regex: str) -> Clause:
+    """The list of clauses() that tells most."""
+    return clauses(regex)[0]
 
 
 def folded(text: Column) -> Column:
@@ -73,55 +77,42 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "ſ", "s")
 
 
-def rule_flag(text: Column, low: Column, rule: Rule) -> Column:
-    gate = None
-    for s in needed(rule.regex):
-        gate = low.contains(s) if gate is None else gate | low.contains(s)
-    hit = text.rlike(to_java(rule.regex))
-    return hit if gate is None else gate & hit
+def find_rules(text: Column, rules: list[Rule] = RULES) -> Column:
+    """Matches of a text as it stands, in the order of the rules."""
+    from .normalize import rules_in
 
+    return told(F.transform(rules_in(rules)(text), lambda r: r["rule"]), rules)
 
-def find_rules(variants: Column, rules: list[Rule] = RULES) -> Column:
-    """Matches of an array of variants, in order of discovery: by variant, then rule; each rule once."""
 
-    def in_one(pair: Column) -> Column:
-        of = lambda r: F.when(rule_flag(pair["text"], pair["low"], r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")))
-        return F.filter(F.array(*[of(r) for r in rules]), lambda m: m.isNotNull())
+def catalogue(rules: list[Rule], *fields: str) -> Column:
+    """The rules as one array of structs of the given fields (not regex)."""
+    quoted = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{f}', {quoted(getattr(r, f))}" for f in fields) + ")" for r in rules) + ")")
 
-    pairs = F.transform(variants, lambda v: F.struct(v.alias("text"), folded(v).alias("low")))
-    return F.array_distinct(F.flatten(F.transform(pairs, in_one))).cast(MATCH)
 
-
-def confirmed(variants: Column) -> Column:
-    """As find_rules(), of variants that come with the numbers of the rules that they may match (see prepare())."""
-    told = F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")) for r in RULES])
-
-    def hit(text: Column, k: Column) -> Column:
-        out = F.when(k == 0, text.rlike(to_java(RULES[0].regex)))
-        for n, r in enumerate(RULES[1:], 1):
-            out = out.when(k == n, text.rlike(to_java(r.regex)))
-        return out
-
-    found = F.transform(variants, lambda v: F.filter(v["rules"], lambda k: hit(v["text"], k)))
-    return F.transform(F.array_distinct(F.flatten(found)), lambda k: F.element_at(told, k + 1)).cast(MATCH)
+def told(numbers: Column, rules: list[Rule] = RULES) -> Column:
+    """The matches of an array of rule numbers."""
+    known = catalogue(rules, "rule_id", "category", "severity")
+    return F.transform(numbers, lambda k: F.element_at(known, k + 1)).cast(MATCH)
 
 
 def rules_table(spark: SparkSession, category: str | None = None, lang: str | None = None) -> DataFrame:
     """The rule catalogue, all or by category or language."""
-    rows = [r for r in RULES if category in (None, r.category) and lang in (None, r.lang)]
-    return spark.createDataFrame([tuple(r) for r in rows], "rule_id string, category string, severity int, lang string, regex string, description string")
+    rows = [(*r, f"{r.category.replace('-', ' ')}, {LANGUAGES[r.lang]}, severity {r.severity}") for r in RULES if category in (None, r.category) and lang in (None, r.lang)]
+    return spark.createDataFrame(rows, "rule_id string, category string, severity int, lang string, regex string, description string")
 
 
 def matches_long(df: DataFrame, key: str, text: str, rules: list[Rule] = RULES) -> DataFrame:
     """(key, rule_id, category, severity, lang, matched) for each text and rule found in it; matched is the first match.
 
-    The rule list is fixed and small, so it is part of the plan; no join is needed.
+    The rule list is fixed and small, so it is part of the plan; no join is needed.  Other columns are not read; null
+    and empty texts give no rows.
     """
-    by_id = {r.rule_id: r for r in rules}
-    low = F.col("_low")
-    hits = [F.when(rule_flag(F.col(text), low, r), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.lang).alias("lang"), F.regexp_substr(F.col(text), F.lit(to_java(r.regex))).alias("matched"))) for r in by_id.values()]
-    found = df.withColumn("_low", folded(F.col(text))).select(key, F.explode(F.filter(F.array(*hits), lambda m: m.isNotNull())).alias("m"))
-    return found.select(key, "m.*")
+    from .normalize import rules_in
+
+    known = catalogue(rules, "rule_id", "category", "severity", "lang")
+    rows = df.select(F.col(f"`{key}`").alias("k"), rules_in(rules)(F.col(f"`{text}`")).alias("found")).select("k", F.explode("found").alias("m"))
+    return rows.select(F.col("k").alias(key), F.element_at(known, F.col("m.rule") + 1).alias("r"), "m.matched").select(key, "r.*", "matched")
 
 
 def python_rules() -> list[tuple[Rule, re.Pattern]]:

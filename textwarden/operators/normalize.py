@@ -11,7 +11,8 @@ import html
 import re
 import string
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import to_java, to_python
 from ..functions.lexicon import LOOKALIKES
-from ..functions.rules import RULES
+from ..functions.rules import RULES, Rule
 from ..functions.text import matches, trimmed
-from .matching import needed
+from .matching import clauses
 
 # Expressions, characters and limits of the normal form.
 CLOSING_TAG = r"(?is)</\s*[a-z][a-z0-9:-]*\s*>"
@@ -56,7 +57,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: A start tag of a key closes an open element of its values.
 IMPLIED_END = {t: ("p",) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()} | {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-PREPARED = "struct<analysis:string,variants:array<struct<text:string,rules:array<int>>>,hidden:boolean,attribute:boolean,zero_width:boolean,aria_hidden:boolean,collapsed:boolean>"
+#: The normal form (null where it is the text itself), the numbers of the rules found in it or its decodings, signals.
+PREPARED = "struct<analysis:string,rules:array<int>,hidden:boolean,attribute:boolean,zero_width:boolean,aria_hidden:boolean,collapsed:boolean>"
 
 
 # --- columns
@@ -228,6 +230,14 @@ def _plain(c: str) -> str:
     return (chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c).translate(LOOKALIKES)
 
 
+_NO_ALNUM = bytes(set(range(128)) - set(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+
+
+def _folded(text: str) -> str:
+    """Lower case as the rules fold it."""
+    return text.lower().replace("ſ", "s")
+
+
 def _joined(m: re.Match, word: str) -> str:
     between = [c for c in m[0] if c.lower() not in "abcdefghijklmnopqrstuvwxyz"]
     return word if all(_joint.match(c) for c in between) else m[0]
@@ -245,8 +255,10 @@ def normal_form(source: str) -> str:
     if not stage.isascii():
         stage = stage.translate({ord(c): _plain(c) for c in used if not c.isascii()})
     stage = " ".join(stage.split())
+    letters = _folded(stage).encode("ascii", "ignore").translate(None, _NO_ALNUM)
     for pattern, word in _split:
-        stage = pattern.sub(lambda m, w=word: _joined(m, w), stage)
+        if word.encode() in letters:
+            stage = pattern.sub(lambda m, w=word: _joined(m, w), stage)
     return stage
 
 
@@ -270,6 +282,8 @@ def _plausible(text: str) -> bool:
 
 
 def _b64(text: str) -> str:
+    if " " in text:
+        return ""
     size = len(text.encode())
     try:
         raw = base64.b64decode((text + {2: "==", 3: "="}.get(size % 4, "")).replace("\r", "").replace("\n", ""), validate=True)
@@ -290,6 +304,8 @@ _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&a
 
 
 def _entities(text: str) -> str:
+    if "&" not in text:
+        return ""
     out = text
     for name, c in _ENTITIES:
         out = out.replace(name, c)
@@ -299,44 +315,63 @@ def _entities(text: str) -> str:
 
 def _percent(text: str) -> str:
     """%XX to bytes; every byte becomes one character, those of non-ASCII text too."""
+    if "%" not in text and text.isascii():
+        return ""
     raw = re.sub(rb"%([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]) if int(m[1], 16) else m[0], text.encode())
     out = raw.decode("latin-1")
     return out if out != text and _plausible(out) else ""
 
 
-_ROTATIONS = [bytes.maketrans(string.ascii_letters.encode(), (string.ascii_lowercase[n:] + string.ascii_lowercase[:n] + string.ascii_uppercase[n:] + string.ascii_uppercase[:n]).encode()) for n in range(13, 26)]
+_ROTATIONS = [bytes.maketrans(string.ascii_letters.encode(), (string.ascii_lowercase[n:] + string.ascii_lowercase[:n] + string.ascii_uppercase[n:] + string.ascii_uppercase[:n]).encode()) for n in range(26)]
+_letter = re.compile("[A-Za-z]")
+#: Non-ASCII characters that fold to ASCII letters.
+_folds = re.compile("[" + "".join(c for c in map(chr, range(128, 0x3000)) if re.search("[a-z]", _folded(c))) + "]")
 _INVISIBLE_MARKS = dict.fromkeys(map(ord, "​‌‍﻿‮‏"))
+_marked = re.compile("[" + "".join(map(chr, _INVISIBLE_MARKS)) + "]")
 
 
-def decoded(text: str, depth: int = DECODE_DEPTH, limit: int = DECODE_VARIANTS) -> list[tuple[str, str, int]]:
-    """(decoded, method, level) in order of discovery, at most ``limit``."""
-    out: list[tuple[str, str, int]] = []
+def _rotated(text: str, n: int) -> str:
+    return text.encode("utf-8", "surrogatepass").translate(_ROTATIONS[n]).decode("utf-8", "surrogatepass") if n else text
+
+
+def _walk(text: str, depth: int, limit: int) -> Iterator[tuple[str, int, str, int]]:
+    """Decodings in order of discovery, at most ``limit``: (base, rotation, method, level), each ``base`` rotated by so many places."""
+    left = limit
     seen: set[str] = set()
 
     def visit(now: str, level: int):
-        if level > depth or len(out) >= limit or len(now.encode()) < 8 or now in seen:
+        nonlocal left
+        if level > depth or not left or len(now.encode("utf-8", "surrogatepass")) < 8 or now in seen:
             return
         seen.add(now)
 
         def take(found: str, method: str, deeper: bool = True):
+            nonlocal left
             if found and found != now:
-                if len(out) < limit:
-                    out.append((found, method, level))
+                if left:
+                    left -= 1
+                    yield found, 0, method, level
                 if deeper:
-                    visit(found, level + 1)
-
-        take(_b64(now), "base64")
-        take(_b64(now.replace("-", "+").replace("_", "/")), "base64-url")
-        take(_hex(now), "hex")
-        raw = now.encode("utf-8", "surrogatepass")
-        for n, table in enumerate(_ROTATIONS, 13):
-            take(raw.translate(table).decode("utf-8", "surrogatepass"), f"rot{n}", False)
-        take(_entities(now), "html-entity")
-        take(now.translate(_INVISIBLE_MARKS), "unicode-normalize", False)
-        take(_percent(now), "url")
-
-    visit(text, 0)
-    return out
+                    yield from visit(found, level + 1)
+
+        yield from take(_b64(now), "base64")
+        yield from take(_b64(now.replace("-", "+").replace("_", "/")), "base64-url")
+        yield from take(_hex(now), "hex")
+        if _letter.search(now):
+            for n in range(13, 26):
+                if left:
+                    left -= 1
+                    yield now, n, f"rot{n}", level
+        yield from take(_entities(now), "html-entity")
+        yield from take(now.translate(_INVISIBLE_MARKS) if _marked.search(now) else now, "unicode-normalize", False)
+        yield from take(_percent(now), "url")
+
+    yield from visit(text, 0)
+
+
+def decoded(text: str, depth: int = DECODE_DEPTH, limit: int = DECODE_VARIANTS) -> list[tuple[str, str, int]]:
+    """(decoded, method, level) in order of discovery, at most ``limit``."""
+    return [(_rotated(base, n), method, level) for base, n, method, level in _walk(text, depth, limit)]
 
 
 def variants(text: str, depth: int = DECODE_DEPTH, limit: int = DECODE_VARIANTS) -> list[str]:
@@ -344,43 +379,110 @@ def variants(text: str, depth: int = DECODE_DEPTH, limit: int = DECODE_VARIANTS)
     return list(dict.fromkeys([text, *(d for d, _, _ in decoded(text, depth, limit))]))
 
 
-def candidates():
-    """A function text -> numbers of the rules whose needed strings it holds, in one pass if there is an automaton for it."""
-    owners: dict[str, set[int]] = {}
-    for k, r in enumerate(RULES):
-        for s in needed(r.regex):
-            owners.setdefault(s, set()).add(k)
-    fold = lambda text: text.lower().replace("ſ", "s")
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: sorted(set().union(*(ks for s, ks in owners.items() if s in fold(text))))
-    found = ahocorasick.Automaton()
-    for s, ks in owners.items():
-        found.add_word(s, frozenset(ks))
-    found.make_automaton()
-    return lambda text: sorted(set().union(*{ks for _, ks in found.iter(fold(text))}))
+class Finder:
+    """Finds the rules of a text and its decodings.
+
+    The strings of each rule's most telling clause are looked up as they stand and as each rotation would have to hide
+    them, all in one pass over a text, so a rotation is only written out where a rule may be found in it.  The other
+    clauses and the regex then decide.
+    """
+
+    def __init__(self, rules: Sequence[Rule] = tuple(RULES)):
+        self.rules = [(clauses(r.regex), re.compile(to_python(r.regex), re.IGNORECASE)) for r in rules]
+        owners: dict[str, set[tuple[int, int]]] = {}
+        for k, (cs, _) in enumerate(self.rules):
+            for s in cs[0]:
+                for n in (0, *range(13, 26)):
+                    owners.setdefault(_rotated(s, 26 - n) if n else s, set()).add((n, k))
+        self.owners = {s: frozenset(ks) for s, ks in owners.items()}
+        self.automaton = None
+        try:
+            import ahocorasick
+        except ImportError:
+            return
+        self.automaton = ahocorasick.Automaton()
+        for s in self.owners:
+            self.automaton.add_word(s, s)
+        self.automaton.make_automaton()
+
+    def _standing(self, folded: str) -> set[str]:
+        if self.automaton is not None:
+            return {s for _, s in self.automaton.iter(folded)}
+        return {s for s in self.owners if s in folded}
+
+    def candidates(self, base: str) -> dict[int, list[int]]:
+        """By rotation, the numbers of the rules that may be found in the rotated text."""
+        out: dict[int, set[int]] = {}
+        for s in self._standing(_folded(base)):
+            for n, k in self.owners[s]:
+                out.setdefault(n, set()).add(k)
+        if not base.isascii() and _folds.search(base):  # these turn into ASCII letters, but only after a rotation
+            for n in range(13, 26):
+                for s in self._standing(_folded(_rotated(base, n))):
+                    out.setdefault(n, set()).update(k for m, k in self.owners[s] if not m)
+        return {n: sorted(ks) for n, ks in out.items()}
+
+    def found(self, text: str, depth: int = DECODE_DEPTH, limit: int = DECODE_VARIANTS) -> list[int]:
+        """Numbers of the rules found, by variant in order of discovery, then rule; each once."""
+        out: dict[int, None] = {}
+        known: dict[str, dict[int, list[int]]] = {}
+        for base, n, *_ in ((text, 0), *_walk(text, depth, limit)):
+            if base not in known:
+                known[base] = self.candidates(base)
+            may = [k for k in known[base].get(n, ()) if k not in out]
+            if may:
+                out |= dict.fromkeys(k for k, _ in self._confirmed(_rotated(base, n), may))
+        return list(out)
+
+    def _confirmed(self, text: str, may: list[int]) -> Iterator[tuple[int, str]]:
+        low = _folded(text)
+        for k in may:
+            cs, regex = self.rules[k]
+            if all(any(s in low for s in c) for c in cs) and (m := regex.search(text)):
+                yield k, m[0]
+
+    def matched(self, text: str) -> list[tuple[int, str]]:
+        """(number, first match) of the rules found in the text as it stands."""
+        return list(self._confirmed(text, self.candidates(text).get(0, [])))
+
+
+@cache
+def _finder(rules: tuple[Rule, ...] = tuple(RULES)) -> Finder:
+    """One for each worker."""
+    return Finder(rules)
+
+
+def rules_in(rules: list[Rule] = RULES):
+    """UDF text -> array of (number of a rule, its first match) of the text as it stands; null and empty texts have none."""
+
+    @F.pandas_udf("array<struct<rule:int,matched:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = _finder(tuple(rules))
+        for texts in batches:
+            yield texts.map(lambda t: [{"rule": k, "matched": m} for k, m in finder.matched(t)] if t else [])
+
+    return run
 
 
 def prepare(mode: str, depth: int = DECODE_DEPTH, limit: int = DECODE_VARIANTS):
-    """UDF text -> struct of PREPARED.  Each variant comes with the rules that it
-    may match; those without any are left out.
+    """UDF text -> struct of PREPARED.
 
-    Normalization is skipped in ``fast`` mode.  Null gives null, so callers may pass null where there is no work.
+    Normalization is skipped in ``fast`` mode.  Null gives nulls, so callers may pass null where there is no work.
     """
 
     @F.pandas_udf(PREPARED)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        rules = candidates()
+        finder = _finder()
+        signals = ("hidden", "attribute", "zero_width", "aria_hidden", "collapsed")
         for texts in batches:
             rows = []
             for t in texts:
-                if t is None or t == "":
-                    rows.append((t, [], False, False, False, False, False))
+                if not t:
+                    rows.append((None, [], False, False, False, False, False))
                     continue
                 form, s = (t, {}) if mode == "fast" else normalized(t)
-                rows.append((form, [{"text": v, "rules": ks} for v in variants(form, depth, limit) if (ks := rules(v))], *(s.get(k, False) for k in ("hidden", "attribute", "zero_width", "aria_hidden", "collapsed"))))
-            yield pd.DataFrame(rows, columns=["analysis", "variants", "hidden", "attribute", "zero_width", "aria_hidden", "collapsed"])
+                rows.append((None if form == t else form, finder.found(form, depth, limit), *(s.get(k, False) for k in signals)))
+            yield pd.DataFrame(rows, columns=["analysis", "rules", *signals])
 
     return run
 

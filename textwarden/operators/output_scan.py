@@ -196,7 +196,7 @@ def relevance(output: Column, prompt: Column) -> Column:
 
 _re = {n: re.compile(to_python(r)) for n, r in {"email": EMAIL, "ssn": SSN, "card": CARD, "phone": PHONE, "private": PRIVATE_IP, "public": PUBLIC_IP, "name": NAME, "aws": AWS_SECRET}.items()}
 _assignment, _sas, _aws_context = re.compile(to_python(SECRET_ASSIGNMENT), re.I), re.compile(to_python(SAS[4:]), re.I), re.compile(to_python(AWS_CONTEXT), re.I)
-_prefixes = {n: re.compile(to_python(r)) for n, r in SECRET_PREFIXES.items()}
+_prefixes = {n: re.compile(to_python(r)) for n, (r, _) in SECRET_PREFIXES.items()}
 _any_prefix = re.compile("|".join(f"(?:{p.pattern})" for p in _prefixes.values()))
 TAGS = {"email": "[REDACTED-EMAIL]", "ssn": "[REDACTED-SSN]", "credit-card": "[REDACTED-CREDIT-CARD]", "phone": "[REDACTED-PHONE]", "ip-address": "[REDACTED-IP-ADDRESS]"}
 

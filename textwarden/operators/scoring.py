@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
-from ..functions.text import capped, contains_any, none_of
+from ..functions.text import capped, contains_any, let, none_of
 from .matching import CATEGORIES
 from .scanners import EMOTIONS
 
@@ -100,10 +100,9 @@ def context_penalty(text: Column, matches: Column) -> Column:
     kinds = F.array_distinct(F.transform(matches, lambda m: m["category"]))
     top = F.array_max(F.transform(matches, lambda m: m["severity"]))
     eligible = (F.size(kinds) == 1) & ~F.exists(kinds, lambda k: k.isin(*HIGH_SIGNAL)) & ~((top >= 4) & (F.size(matches) >= 2))
-    low = F.lower(text)
     points = lambda c, n: F.when(c, n).otherwise(0)
-    found = points(contains_any(low, lex.PENALTY_DOC), 10) + points(contains_any(low, lex.PENALTY_CODE), 10) + points(contains_any(low, lex.PENALTY_LEGITIMATE), 5) + points(text.contains("aria-") | text.contains("data-"), 5)
-    return F.when(eligible, capped(found, 20)).otherwise(0)
+    found = lambda low: points(contains_any(low, lex.PENALTY_DOC), 10) + points(contains_any(low, lex.PENALTY_CODE), 10) + points(contains_any(low, lex.PENALTY_LEGITIMATE), 5) + points(text.contains("aria-") | text.contains("data-"), 5)
+    return F.when(eligible, capped(let(F.lower(text), found), 20)).otherwise(0)
 
 
 def signal_boost(p: Column) -> Column:
@@ -133,6 +132,11 @@ def ban_points(b: Column) -> Column:
     return capped(30 * b["n_substring"] + 20 * b["n_topic"] + 15 * b["n_competitor"] + 40 * b["n_regex"], 60)
 
 
+def scanner_points(s: Column, g: Column, t: Column, e: Column, b: Column, gate: Column) -> Column:
+    """Points of the side scanners."""
+    return secrets_points(s) + gibberish_points(g, gate) + toxicity_points(t, gate) + emotion_points(e, gate) + ban_points(b)
+
+
 def trigger_points(s: Column, g: Column, t: Column, gate: Column) -> Column:
     """Points that weak signals alone may have given."""
     hostile = t["is_toxic"] & t["tier3"] & ~t["tier1"] & ~t["tier2"] & ~gate

@@ -3,104 +3,102 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import col, let, settled, unused
 from ..operators import output_scan, scanners, scoring
 from ..operators.debias import context_score, debiased, payload_types
 from ..operators.domain import check_domain
-from ..operators.matching import confirmed
+from ..operators.matching import told
 from ..operators.normalize import DECODE_DEPTH, DECODE_VARIANTS, clamped, prepare
 from ..operators.sanitize import SanitizeConfig, sanitizer
 from ..sources.config import Config, parse_mode, resolved
 from ..sources.service import escalate
 
 
-def _kept_whole(found: Column) -> Column:
-    """A result as one value that the optimizer neither takes apart nor moves filters through: a filter on a field would else be
-    worked out anew from all that the field comes from, stage by stage.  So filter on other columns before assessing."""
-    return let(F.when(F.rand(0) >= 0, found), lambda r: r)
+def input_risk(df: DataFrame, text: Column, cfg: Config, name: str = "risk") -> DataFrame:
+    """Adds ``name``, the local risk of ``text``: rules and signals, then points, then the risk.  Each step is settled before the
+    next one reads it, so the plan grows with their sum.  All columns of ``df`` stay, but one called ``name``."""
+    own, seen, won, sums = unused(df, "_own", "_seen", "_won", "_sums")
+    udf = prepare(cfg.mode, cfg.max_decode_depth or DECODE_DEPTH, cfg.max_decoded_variants or DECODE_VARIANTS)
+    out = df.withColumn(own, clamped(F.coalesce(text, F.lit("")), cfg.max_input))
+    out = settled(out.withColumn(seen, udf(col(own))), won, F.struct(col(own).alias("text"), F.coalesce(col(seen)["analysis"], col(own)).alias("analysis"), col(seen).alias("p")))
+    out = out.drop(own, seen).withColumnRenamed(won, own)
+    p, a, t = col(own)["p"], col(own)["analysis"], col(own)["text"]
 
+    def signals(gate: Column) -> Column:
+        scanned = {"m": told(p["rules"]), "s": scanners.secrets(a), "g": scanners.gibberish(a), "x": scanners.toxicity(a), "e": scanners.emotion(a, gate), "b": scanners.ban_lists(a, cfg.ban_substrings, cfg.ban_topics, cfg.ban_competitors, cfg.custom_regex)}
+        return F.struct(gate.alias("k"), *[c.alias(n) for n, c in scanned.items()])
 
-def input_risk(df: DataFrame, text: Column, cfg: Config) -> DataFrame:
-    """Adds ``risk``, the local risk of ``text``, in stages whose results are used several times."""
-    t, p, m, s, g, x, e, b, k, sc, tr = (F.col(f"_{n}") for n in ("text", "p", "m", "sec", "gib", "tox", "emo", "ban", "gate", "score", "trigger"))
-    udf = prepare(cfg.mode, cfg.max_decode_depth or DECODE_DEPTH, cfg.max_decoded_variants or DECODE_VARIANTS)
-    out = df.withColumn("_text", clamped(F.coalesce(text, F.lit("")), cfg.max_input)).withColumn("_p", udf(t))
-    a = p["analysis"]
-    out = out.withColumn("_gate", scanners.keyword_gate(a)).withColumns({
-        "_m": confirmed(p["variants"]),
-        "_sec": scanners.secrets(a),
-        "_gib": scanners.gibberish(a),
-        "_tox": scanners.toxicity(a),
-        "_emo": scanners.emotion(a, k),
-        "_ban": scanners.ban_lists(a, cfg.ban_substrings, cfg.ban_topics, cfg.ban_competitors, cfg.custom_regex),
-    })
+    out = settled(out, seen, let(scanners.keyword_gate(a), signals))
+    m, s, g, x, e, b, k = (col(seen)[n] for n in ("m", "s", "g", "x", "e", "b", "k"))
     some, banned = F.size(m) > 0, F.size(b["rules"]) > 0
-    live = some | (F.size(s["types"]) > 0) | g["is_gibberish"] | g["high_entropy_block"] | x["is_toxic"] | e["manipulative"] | banned
-    out = out.withColumn("_live", live & (t != ""))
+    live = (some | (F.size(s["types"]) > 0) | g["is_gibberish"] | g["high_entropy_block"] | x["is_toxic"] | e["manipulative"] | banned) & (t != "")
     # Only rows with a finding need what follows.
-    on = F.col("_live")
-    out = out.withColumns({
-        "_attack": F.when(on, scanners.attack_phrases(a, k)),
-        "_types": F.when(on, payload_types(a, k)),
-        "_context": F.when(on, context_score(a)),
-        "_base": F.when(on, scoring.match_score(m)),
-        "_penalty": F.when(on, scoring.context_penalty(a, m)),
-        "_cats": F.when(on, scoring.category_names(m, s, g, x, e, b)),
-    })
-    points = F.greatest(F.col("_base") - F.col("_penalty"), F.lit(0)) + F.when(some, scoring.signal_boost(p)).otherwise(0)
-    points = points + scoring.secrets_points(s) + scoring.gibberish_points(g, k) + scoring.toxicity_points(x, k) + scoring.emotion_points(e, k) + F.col("_attack") + scoring.ban_points(b)
-    out = out.withColumn("_raw", points.cast("int"))
-    out = out.withColumn("_score", F.when(p["attribute"] & some, F.greatest(F.col("_raw") + 45, F.lit(70))).otherwise(F.col("_raw")))
-    out = out.withColumn("_weak", scoring.trigger_points(s, g, x, k).cast("int"))
-    out = out.withColumn("_trigger", F.when(some, F.col("_weak")).otherwise(F.greatest(F.col("_weak"), sc)))
-    out = out.withColumn("_injection", F.when(some, F.greatest(sc - tr, F.lit(0))).otherwise(0))
-    eased = debiased(F.col("_types"), F.col("_context"), sc, tr, F.col("_injection"), banned) if cfg.debiases else sc
-    out = out.withColumn("_score2", F.least(eased, F.lit(100)).cast("int"))
-    score, cats = F.col("_score2"), F.col("_cats")
-    defense = F.when(banned | (tr <= 0) | (F.col("_injection") != 0), 0.0).otherwise(F.least(tr / 30.0, F.lit(1.0)))
-    found = scoring.risk(
-        score,
-        scoring.blocked(score, cfg.strict, cfg.block_threshold),
-        scoring.reason(m, cats, p, s, g, x, e, b),
-        scoring.pattern_ids(m, s, g, x, e, b),
-        cats,
-        ban_list_matches=b["rules"],
-        over_defense_risk=defense,
-        intent=scoring.intent(cats),
-    )
-    out = out.withColumn("risk", _kept_whole(F.when(on, found).otherwise(scoring.safe())))
-    return out.select(*[c for c in df.columns if c != "risk"], "risk")
+    points = {
+        "types": payload_types(a, k),
+        "context": context_score(a),
+        "cats": scoring.category_names(m, s, g, x, e, b),
+        "raw": F.greatest(scoring.match_score(m) - scoring.context_penalty(a, m), F.lit(0)) + F.when(some, scoring.signal_boost(p)).otherwise(0) + scanners.attack_phrases(a, k) + scoring.scanner_points(s, g, x, e, b, k),
+        "weak": scoring.trigger_points(s, g, x, k).cast("int"),
+        "reason": scoring.reason(m, scoring.category_names(m, s, g, x, e, b), p, s, g, x, e, b),
+        "patterns": scoring.pattern_ids(m, s, g, x, e, b),
+    }
+    out = settled(out, won, F.when(live, F.struct(*[c.alias(n) for n, c in points.items()])))
+    w = col(won)
+
+    def summed(raw: Column) -> Column:
+        score = F.when(p["attribute"] & some, F.greatest(raw + 45, F.lit(70))).otherwise(raw)
+        return let(F.struct(score.alias("score"), F.when(some, w["weak"]).otherwise(F.greatest(w["weak"], score)).alias("trigger")), lambda n: F.struct(n["score"].alias("score"), n["trigger"].alias("trigger"), F.when(some, F.greatest(n["score"] - n["trigger"], F.lit(0))).otherwise(0).alias("injection")))
+
+    out = settled(out, sums, let(w["raw"].cast("int"), summed))
+    score, trigger, injection = (col(sums)[n] for n in ("score", "trigger", "injection"))
+    eased = debiased(w["types"], w["context"], score, trigger, injection, banned) if cfg.debiases else score
+    defense = F.when(banned | (trigger <= 0) | (injection != 0), 0.0).otherwise(F.least(trigger / 30.0, F.lit(1.0)))
+
+    def found(final: Column) -> Column:
+        return scoring.risk(final, scoring.blocked(final, cfg.strict, cfg.block_threshold), w["reason"], w["patterns"], w["cats"], ban_list_matches=b["rules"], over_defense_risk=defense, intent=scoring.intent(w["cats"]))
+
+    risk = F.when(w.isNotNull(), let(F.least(eased, F.lit(100)).cast("int"), found)).otherwise(scoring.safe())
+    return settled(out.drop(*[n for n in (name,) if n in df.columns]), name, risk).drop(own, seen, won, sums)
 
 
 def assess(df: DataFrame, text: str = "text", url: str | None = None, cfg: Config = Config(), client: Callable | None = None) -> DataFrame:
     """Adds ``risk``: the risk of each input text, in deep mode by the service where it is asked and answers, and merged with
-    the check of ``url`` where domains are listed.  Null texts are safe; all columns of ``df`` stay, but one named ``risk``."""
+    the check of ``url`` where domains are listed.  Null texts are safe; all columns of ``df`` stay, but one named ``risk``;
+    an empty table gives none."""
     cfg = resolved(cfg)
-    out = input_risk(df, F.col(text), cfg)
+    out = input_risk(df, col(text), cfg)
     if cfg.mode == "deep" and cfg.service_url:
-        out = escalate(out, text, url, cfg, client)
+        (sent,) = unused(out, "_sent")
+        out = escalate(out.withColumn(sent, clamped(col(text), cfg.max_input)), sent, url, cfg, client).drop(sent)
     if url and cfg.merge_domain and any(d.strip() for d in cfg.allowed_domains):
-        out = out.withColumn("_own", check_domain(F.col(url), list(cfg.allowed_domains), cfg.strict))
-        out = out.withColumn("_both", scoring.merged(F.col("risk"), F.col("_own")))
-        out = out.withColumn("risk", F.when(F.coalesce(F.col(url), F.lit("")) == "", F.col("risk")).otherwise(F.col("_both"))).drop("_own", "_both")
+        (own,) = unused(out, "_own")
+        out = out.withColumn(own, F.when(F.coalesce(col(url), F.lit("")) != "", check_domain(col(url), list(cfg.allowed_domains), cfg.strict)))
+        out = settled(out, "risk", F.when(col(own).isNull(), F.col("risk")).otherwise(let(col(own), lambda d: scoring.merged(F.col("risk"), d)))).drop(own)
     return out
 
 
+#: Another name of assess().
+scan = assess
+
+
 def assess_output(df: DataFrame, text: str = "text", prompt: str | None = None, cfg: Config = Config()) -> DataFrame:
-    """Adds ``risk``: the risk of each model output, given its prompt.  Null outputs are safe."""
+    """Adds ``risk``: the risk of each model output, given its prompt.  Null outputs are safe; all columns of ``df`` stay, but
+    one named ``risk``."""
     cfg = resolved(cfg)
-    bare = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
-    asked = F.coalesce(F.col(prompt), F.lit("")) if prompt else F.lit("")
-    out = df.withColumn("_out", bare)
-    o = F.col("_out")
-    out = out.withColumns({"_leak": output_scan.prompt_leak(o), "_urls": output_scan.url_scan(o), "_pii": output_scan.pii()(o), "_code": output_scan.code_scan(o, cfg.allow_output_code, cfg.ban_output_code), "_rel": output_scan.relevance(o, asked)})
-    found = output_scan.output_risk(o, *[F.col(n) for n in ("_leak", "_urls", "_pii", "_code", "_rel")], cfg.strict, cfg.block_threshold)
-    return out.withColumn("risk", _kept_whole(found)).drop("_out", "_leak", "_urls", "_pii", "_code", "_rel")
+    own, seen = unused(df, "_own", "_seen")
+    asked = F.coalesce(col(prompt), F.lit("")) if prompt else F.lit("")
+    out = settled(df, own, F.struct(F.btrim(F.coalesce(col(text), F.lit("")), F.lit(" \t\n\r\x0b\x0c")).alias("o"), asked.alias("asked")))
+    o = col(own)["o"]
+    (pii,) = unused(out, "_pii")
+    out = out.withColumn(pii, output_scan.pii()(o))
+    scans = {"leak": output_scan.prompt_leak(o), "urls": output_scan.url_scan(o), "pii": col(pii), "code": output_scan.code_scan(o, cfg.allow_output_code, cfg.ban_output_code), "rel": output_scan.relevance(o, col(own)["asked"])}
+    out = settled(out, seen, F.struct(*[c.alias(n) for n, c in scans.items()]))
+    found = output_scan.output_risk(o, *[col(seen)[n] for n in scans], cfg.strict, cfg.block_threshold)
+    return settled(out.drop(*[n for n in ("risk",) if n in df.columns]), "risk", found).drop(own, pii, seen)
 
 
 def assess_pair(df: DataFrame, prompt: str, output: str, cfg: Config = Config()) -> DataFrame:
@@ -111,18 +109,28 @@ def assess_pair(df: DataFrame, prompt: str, output: str, cfg: Config = Config())
 def assess_by_mode(df: DataFrame, text: str, mode: str, engines: dict[str, Config], default: str = "balanced") -> DataFrame:
     """Adds ``risk`` by the engine that each row's mode names; an unknown mode is an error when the row is computed.
 
-    Each engine reads the rows of its mode: a filter that is pushed to the scan where the mode is a stored column."""
-    chosen = F.when(F.trim(F.coalesce(F.col(mode), F.lit(""))) == "", F.lit(parse_mode(default))).otherwise(F.lower(F.trim(F.col(mode))))
-    out = df.withColumn("_mode", chosen)
-    parts = [assess(out.where(F.col("_mode") == name), text, None, cfg) for name, cfg in engines.items()]
-    unknown = F.raise_error(F.concat(F.lit("engine is not configured for mode "), F.col("_mode"))).cast(scoring.RISK)
-    parts.append(out.where(~F.col("_mode").isin(*engines)).withColumn("risk", unknown))
-    return reduce(DataFrame.unionByName, parts).drop("_mode")
+    The rows are read once: each engine is given the texts of its mode and nulls for the others."""
+    base = df.drop("risk")
+    chosen, *names = unused(base, "_mode", *[f"_risk{k}" for k in range(len(engines))])
+    wanted = F.trim(F.coalesce(col(mode), F.lit("")))
+    out = base.withColumn(chosen, F.when(wanted == "", F.lit(parse_mode(default))).otherwise(F.lower(wanted)))
+    for name, (engine, cfg) in zip(names, engines.items(), strict=True):
+        cfg = resolved(cfg)
+        mine = F.when(col(chosen) == engine, col(text))
+        if cfg.mode == "deep" and cfg.service_url:
+            (sent,) = unused(out, "_sent")
+            out = assess(out.withColumn(sent, mine), sent, None, cfg).drop(sent).withColumnRenamed("risk", name)
+        else:
+            out = input_risk(out, mine, cfg, name)
+    risk = F.raise_error(F.concat(F.lit("engine is not configured for mode "), col(chosen))).cast(scoring.RISK)
+    for name, engine in zip(names, engines, strict=True):
+        risk = F.when(col(chosen) == engine, col(name)).otherwise(risk)
+    return settled(out, "risk", risk).drop(chosen, *names)
 
 
 def sanitize(df: DataFrame, text: str = "text", cfg: SanitizeConfig = SanitizeConfig(), output: bool = False) -> DataFrame:
     """Adds ``sanitized`` (clean_text, redactions with byte offsets in the original)."""
-    return df.withColumn("sanitized", sanitizer(cfg.for_output() if output else cfg)(F.col(text)))
+    return df.withColumn("sanitized", sanitizer(cfg.for_output() if output else cfg)(col(text)))
 
 
 def sanitize_and_assess(df: DataFrame, text: str = "text", cfg: Config = Config(), redaction: SanitizeConfig = SanitizeConfig()) -> DataFrame:
@@ -146,4 +154,4 @@ def over_defense_suite(spark: SparkSession, cfg: Config = Config()) -> DataFrame
     return assess(spark.createDataFrame(SENTENCES, "name string, text string"), "text", None, cfg)
 
 
-__all__ = ["assess", "assess_by_mode", "assess_output", "assess_pair", "chat_pairs", "over_defense_suite", "sanitize", "sanitize_and_assess"]
+__all__ = ["assess", "assess_by_mode", "assess_output", "assess_pair", "chat_pairs", "over_defense_suite", "sanitize", "sanitize_and_assess", "scan"]

@@ -129,7 +129,7 @@ LEVEL = "CASE WHEN score < 20 THEN 'safe' WHEN score < 40 THEN 'low' WHEN score
 
 @query("risk_score_fast", f"WITH {SCORED} SELECT doc_id, score, {LEVEL} AS level, score >= 60 AS blocked FROM scored")
 def risk_score_fast(spark, sf_dir):
-    found = docs(spark, sf_dir).withColumn("m", matching.find_rules(F.array("text")))
+    found = docs(spark, sf_dir).withColumn("m", matching.find_rules(F.col("text")))
     staged = found.select("doc_id", scoring.match_score(F.col("m")).alias("base"), scoring.context_penalty(F.col("text"), F.col("m")).alias("penalty"))
     scored = staged.select("doc_id", F.greatest(F.col("base") - F.col("penalty"), F.lit(0)).cast("int").alias("score"))
     return scored.select("doc_id", "score", scoring.level(F.col("score")).alias("level"), scoring.blocked(F.col("score")).alias("blocked"))
@@ -469,7 +469,7 @@ def canary_check(spark, sf_dir):
 def _judged(spark, sf_dir):
     """Every document, malicious if its phrase is an attack, and what the rules said."""
     attack = F.pmod(F.col("doc_id"), F.lit(len(PHRASES))).isin(1, 2, 3, 9, 11, 12)
-    found = docs(spark, sf_dir).select("doc_id", F.pmod(F.col("doc_id"), F.lit(len(PHRASES))).cast("string").alias("category"), F.when(attack, "malicious").otherwise("safe").alias("label"), F.struct(F.transform(matching.find_rules(F.array("text")), lambda m: m["rule_id"]).alias("patterns")).alias("risk"))
+    found = docs(spark, sf_dir).select("doc_id", F.pmod(F.col("doc_id"), F.lit(len(PHRASES))).cast("string").alias("category"), F.when(attack, "malicious").otherwise("safe").alias("label"), F.struct(F.transform(matching.find_rules(F.col("text")), lambda m: m["rule_id"]).alias("patterns")).alias("risk"))
     return evaluate.classified(found)
 
 

@@ -76,7 +76,8 @@ def _decoded(data: bytes) -> dict | None:
 
 
 def escalate(df: DataFrame, text: str, url: str | None, cfg: Config, client: Callable[[], Client] | None = None) -> DataFrame:
-    """``risk`` replaced by the service's where the local score is ESCALATE_AT or more and it answers.
+    """``risk`` replaced by the service's where the local score is ESCALATE_AT or more and it answers; it is sent ``text``, as
+    it was assessed (clamped).
 
     The call is not repeatable, so write or checkpoint the result before it is used twice.
     """
