@@ -320,6 +320,27 @@ def test_article_of_a_page():
     assert [t for t, z in op5.lines("plain <div hidden>no</div> text <p style='display:none'>no</p>") if z != op5.DROPPED] == ["plain", "text"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><meta charset=u><body><article><p>Kept</article>", ["Kept"]),  # optional end tags left out
+        ("<article><p>One<script>for(var i=0;i<n;i++)</script><p>Two</article><p>out", ["One", "Two"]),
+        ("<article><p>One</p><SCRIPT>if(a<b)'</p>'</SCRIPT ><style>a<b</style>Two<textarea><p>no</textarea></article>", ["One", "Two"]),
+        ("<main><article>a</article><p>main text</p></main><p>out</p>", ["a", "main text"]),
+        ("<main><p>only main</p></main><p>out</p>", ["only main"]),
+        ("<article><div class='search-and-rescue'>Found</div><div class='search-box'>Find</div><p id=sharing-economy>Shared</p><p class='share-buttons top'>Share</p></article>", ["Found", "Shared"]),
+        ("<article><p>A <svg><text>no</text></svg>single <button>Push</button>line<p title=it's>that's</article>", ["A single line", "that's"]),
+        ("<!-->a<!--->b<!-- c --!>d<!-- e", ["abd"]),
+        ("<p title='a > b' alt=\"c>\">x</p><p =\"y\">z <", ["x", "z <"]),
+        ("<article><noscript><p>no</p></noscript><template><article>no</article></template><p>yes", ["yes"]),
+        ("<nav><article>no</article></nav><p>yes</p><script>open", ["yes"]),
+        ("<article>" * 3000 + "deep" + "</article>" * 3000, ["deep"]),
+    ],
+)
+def test_markup(page, want):
+    assert [t for t, z in op5.lines(page) if z != op5.DROPPED] == want
+
+
 def plain_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
@@ -332,8 +353,46 @@ def test_common_is_a_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(200):
         a, b = r.sample(range(30), 12), r.sample(range(30), 15)
-        i, j = op5.common(a, b)
-        assert [a[k] for k in i] == [b[k] for k in j] and i == sorted(i) and j == sorted(j) and len(i) == plain_lcs(a, b)
+        for n in (30, 3):
+            a, b = [x % n for x in a], [x % n for x in b]  # with repeated lines
+            for i, j in (op5.common(a, b), tuple(zip(*op5._halved(a, b))) or ((), ())):
+                assert [a[k] for k in i] == [b[k] for k in j] and len(i) == plain_lcs(a, b)
+                assert all(x < y for s in (i, j) for x, y in zip(s, s[1:]))
+    assert op5.common([1, 2, 1], [2, 1]) == ([1, 2], [0, 1])
+    many = [k % 3 for k in range(5000)]
+    assert len(op5.common(many, many[1:])[0]) == 4999
+
+
+def test_html_query_against_brute_force(spark, tmp_path):
+    r = random.Random(6)
+    site = [f"Site line {k}" for k in range(6)]
+    rows = []
+    for k in range(60):
+        own = [f"<p>Story {k % 50} line {j} {r.random()}</p>" for j in range(r.randrange(6, 12))]
+        shared = [f"<div>{t}</div>" for t in r.sample(site, r.randrange(3))]
+        body = "".join(own)
+        body = f"<article>{body}<p>{r.choice(site)}</p></article>" if k % 3 == 0 else body
+        rows.append((k, r.choice([f"http://h{k % 3}.example/{r.randrange(30):02d}", f"http://h{k % 3}.example/s/{k}"]), "".join(shared[:1]) + body + "".join(shared[1:]) + "<footer>Foot</footer>"))
+    rows += [(100, None, None), (101, "http://h1.example/99", ""), (102, "http://h1.example/98", "<article><p>" + "long " * 50_000)]
+    want = {}
+    pages = {i: (op5.address(u), op5.lines(h or "")) for i, u, h in rows}
+    gone, marked = defaultdict(set), 0
+    order = sorted((i for i in pages if pages[i][1]), key=lambda i: (*pages[i][0], i))
+    for x, y in zip(order, order[1:]):
+        if pages[x][0][0] == pages[y][0][0]:
+            a, b = pages[x][1], pages[y][1]
+            for i, j in zip(*op5.common([t for t, _ in a], [t for t, _ in b])):
+                gone[x] |= {i} if a[i][1] != op5.ARTICLE else set()
+                gone[y] |= {j} if b[j][1] != op5.ARTICLE else set()
+    for i, u, _ in rows:
+        text = "\n".join(t for k, (t, z) in enumerate(pages[i][1]) if z != op5.DROPPED and k not in gone[i])
+        want[i] = (u, text, len(text), len(gone[i]), sum(z == op5.DROPPED and k not in gone[i] for k, (_, z) in enumerate(pages[i][1])))
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS i", "2 AS gone", "3 AS text").repartition(5).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: tuple(r)[1:] for r in op5.op5_html(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert sum(v[3] for v in want.values()) > 60  # differencing decides
+    twice = spark.createDataFrame([(1, "http://h.example/a", "<p>A</p><p>B</p>"), (1, "http://h.example/a", "<p>A</p><p>B</p>"), (None, None, "<p>C</p>")], "page_id bigint, url string, html string")
+    assert sorted((r.page_id or 0, r.text) for r in op5.extract_main_text(twice).collect()) == [(0, "C"), (1, "A\nB"), (1, "A\nB")]
 
 
 def test_neighbours_lose_what_they_share(spark):
