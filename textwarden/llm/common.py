@@ -61,7 +61,7 @@ class Scratch:
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
         self.paths.append(path)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:
