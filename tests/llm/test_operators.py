@@ -116,16 +116,55 @@ def test_wav_round_trip_and_resampling():
     assert list(op1.resample(x, 8000, 12000)) == [0, 6, 13, 20, -14, -30]
 
 
-def test_store_texts(docs, rows, empty):
-    got = {r.doc_id: r for r in op1.store_texts(docs).collect()}
+def plain_g711(byte, law):
+    """One sample by the definition of G.711."""
+    if law == "ulaw":
+        byte ^= 0xFF
+        size = ((2 * (byte & 15) + 33) << (byte >> 4 & 7)) - 33
+        return 4 * (-size if byte & 128 else size)
+    byte ^= 0x55
+    exponent, mantissa = byte >> 4 & 7, byte & 15
+    size = 2 * mantissa + 1 if not exponent else (2 * mantissa + 33) << (exponent - 1)
+    return 8 * (size if byte & 128 else -size)
+
+
+def plain_pcm_wav(samples):
+    import io
+    import wave
+
+    twice = [v for a, b in zip(samples, [*samples[1:], samples[-1]]) for v in (a, (a + b) >> 1)]
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(16000)
+        w.writeframes(b"".join(v.to_bytes(2, "little", signed=True) for v in twice))
+    return twice, out.getvalue()
+
+
+def test_telephony_query_against_brute_force(spark, docs, rows, empty, tmp_path):
+    docs.union(docs.where("doc_id IN (3, -2)")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op1.op1_telephony(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows) + 2
+    got = {r.doc_id: r for r in out}
+    files = {r.doc_id: r for r in op1.store_texts(docs).collect()}
     for i, t in rows:
         raw = (t or "").encode()
-        payload = op1.padded(raw)
-        assert len(payload) % 64 == 0 and payload
-        assert (got[i].n_bytes, bytes(got[i].payload)) == (len(raw), payload)
-        assert bytes(got[i].media) == op1.wav(payload, "ulaw", 8000)
-        part = dict(x.split("=") for x in got[i].feature.split(";"))
-        assert part["ulaw"].split(":")[0] == f"{zlib.crc32(op1.resample(op1.ulaw_table()[list(payload)], 8000, 16000).astype('<i2').tobytes()):08x}"
+        payload = raw + bytes(-len(raw) % 64 or (64 if not raw else 0))
+        g, f = got[i], files[i]
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        header = b"RIFF" + (len(payload) + 38).to_bytes(4, "little") + b"WAVEfmt " + bytes.fromhex("12000000 0700 0100 401f0000 401f0000 0100 0800 0000") + b"data" + len(payload).to_bytes(4, "little")
+        assert (g.media_bytes, g.media_sha256) == (len(header) + len(payload), sha(header + payload)) and bytes(f.media) == header + payload
+        if len(payload) > 20_000:
+            continue
+        told = []
+        for codec, linear in (("ulaw", [plain_g711(b, "ulaw") for b in payload]), ("alaw", [plain_g711(b, "alaw") for b in payload]), ("adpcm", [v for k in range(0, len(payload), 64) for v in plain_adpcm(payload[k : k + 64])])):
+            samples, file = plain_pcm_wav(linear)
+            assert g[f"pcm_{codec}_sha256"] == sha(op1.wav(file[44:], "pcm", 16000)) and op1.read_wav(bytes(f[f"pcm_{codec}"]))[3] == file[44:]
+            rms = int(np.sqrt(np.longdouble(sum(v * v for v in samples) // len(samples))))
+            told.append(f"{codec}={zlib.crc32(file[44:]):08x}:{rms}:{max(abs(v) for v in samples)}:{sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))}")
+        assert g.feature == ";".join(told)
     assert op1.store_texts(empty).count() == 0
 
 

@@ -91,19 +91,26 @@ def unused(df: DataFrame, name: str) -> str:
 def map_rows(df: DataFrame, work: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """Applies ``work`` (columns of a batch as Python lists -> output rows) batch by batch.
 
-    Text columns should be passed as BINARY: their values then arrive as bytes, without decoding.
+    Text columns should be passed as BINARY: their values then arrive as bytes, without decoding.  Output goes back
+    as it comes, in batches of about BATCH_BYTES of strings and bytes.
     """
     bounded_batches(df.sparkSession)
     out = arrow_schema(schema)
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = list(work(*(c.to_pylist() for c in batch.columns)))
+            rows, size = [], 0
+            for row in work(*(c.to_pylist() for c in batch.columns)) if batch.num_rows else ():
+                rows.append(row)
+                size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+                if size > BATCH_BYTES:
+                    yield packed(rows)
+                    rows, size = [], 0
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+                yield packed(rows)
 
     return df.mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table, utf8
+from .common import bounded_batches, map_rows, table, utf8
 
 UNIT = 64
 RATE = 8000
@@ -127,9 +127,16 @@ def decode_media(df: DataFrame, payload: str = "payload", codec: str = "codec",
     """
     from pyspark.sql.functions import pandas_udf
 
+    bounded_batches(df.sparkSession)
+
+    def converted(data, kind) -> bytes | None:
+        if data is None or kind not in FORMATS:
+            return None
+        return wav(resample(expand(bytes(data), kind, block), source, target).astype("<i2").tobytes(), "pcm", target)
+
     @pandas_udf("binary")
     def stored(data, kind):
-        return data.combine(kind, lambda d, k: None if d is None or k not in FORMATS else wav(resample(expand(bytes(d), k, block), source, target).astype("<i2").tobytes(), "pcm", target))
+        return data.combine(kind, converted)
 
     return df.withColumn("media", stored(F.col(f"`{payload}`"), F.col(f"`{codec}`")))
 
@@ -145,6 +152,9 @@ def features(pcm: np.ndarray) -> str:
     return f"{zlib.crc32(pcm.astype('<i2', copy=False).tobytes()):08x}:{isqrt(int(wide @ wide) // max(1, wide.size))}:{int(np.abs(wide).max(initial=0))}:{crossings}"
 
 
+CODECS = ("ulaw", "alaw", "adpcm")
+
+
 def _store(ids: list, texts: list[bytes], group: int = 1 << 20) -> Iterable[tuple]:
     at = 0
     while at < len(texts):
@@ -158,8 +168,10 @@ def _store(ids: list, texts: list[bytes], group: int = 1 << 20) -> Iterable[tupl
         first = 0
         for i, t, f, p in zip(ids[at:end], texts[at:end], files, payloads, strict=True):
             last = first + len(p) // UNIT
-            parts = {"ulaw": resample(expand(p, "ulaw"), RATE, PCM_RATE), "alaw": expand(p, "alaw"), "adpcm": blocks[first:last].ravel()}
-            yield i, len(t), f, p, ";".join(f"{k}={features(v)}" for k, v in parts.items())
+            linear = (expand(p, "ulaw"), expand(p, "alaw"), blocks[first:last].ravel())
+            pcm = [wav(resample(x, RATE, PCM_RATE).astype("<i2", copy=False).tobytes(), "pcm", PCM_RATE) for x in linear]
+            told = ";".join(f"{k}={features(expand(read_wav(x)[3], 'pcm'))}" for k, x in zip(CODECS, pcm, strict=True))
+            yield i, len(t), f, p, *pcm, told
             first = last
         at = end
 
@@ -167,13 +179,15 @@ def _store(ids: list, texts: list[bytes], group: int = 1 << 20) -> Iterable[tupl
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores the bytes of each text as the 8-bit mu-law samples of a WAV file and reads them back.
 
-    Returns ``key``, n_bytes, media (the file), payload (read back from it) and feature: CRC, RMS, peak and zero
-    crossings of the samples expanded as mu-law and resampled, as A-law, and as ADPCM blocks.
-    Null and empty texts are one block of zero bytes.  Repeated rows and null keys stay as they are;
-    other columns are not read.
+    Returns ``key``, n_bytes, media (the file), payload (read back from it), pcm_ulaw, pcm_alaw and pcm_adpcm (WAV files of
+    16-bit PCM: the payload expanded by each codec and resampled to PCM_RATE) and feature: CRC, RMS, peak and zero
+    crossings of the samples read back from each.  Null and empty texts are one block of zero bytes; equal texts give equal
+    values; rows of a null key and repeated rows stay as they are; an empty table gives no rows; other columns are not
+    read, whatever their names.
     """
     kind = df.schema[key].dataType.simpleString()
-    return map_rows(df.select(F.col(f"`{key}`"), utf8(f"`{text}`").alias("t")), _store, f"`{key}` {kind}, n_bytes bigint, media binary, payload binary, feature string")
+    files = ", ".join(f"pcm_{c} binary" for c in CODECS)
+    return map_rows(df.select(F.col(f"`{key}`"), utf8(f"`{text}`").alias("t")), _store, f"`{key}` {kind}, n_bytes bigint, media binary, payload binary, {files}, feature string")
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,4 +201,5 @@ def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("bigint").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        *[F.sha2(f"pcm_{c}", 256).alias(f"pcm_{c}_sha256") for c in CODECS],
     )
