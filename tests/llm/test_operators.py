@@ -600,8 +600,15 @@ def test_items_found(spark, docs, rows, empty):
             raw = (source[r.doc_id] or "").encode()
             covered = sum(len(WORD.findall(lower(raw[s.start : s.end].decode()))) for s in r.spans)
             assert covered == r.n_hit
-    kept = {r.doc_id for r in op9.decontaminated(docs, bench).collect()}
-    assert kept == {i for i, t in rows if not brute_hits(t, items)[1]}
+        kept = op9.decontaminated(docs, bench, block_bytes=block)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, t in rows if not brute_hits(t, items)[1]}
+        share = {i: (lambda x: x[1] / x[0] if x[0] else 0.0)(brute_hits(t, items)) for i, t in rows}
+        assert {r.doc_id for r in op9.decontaminated(docs, bench, max_share=0.3, block_bytes=block).collect()} == {i for i, v in share.items() if v <= 0.3}
+    odd = spark.createDataFrame([(None, "one two", 1), (None, "x", 2), (7, "one two", 3), (7, "one two", 3), (7, "y", 4), (8, None, 5)], "doc_id bigint, text string, _h int")
+    for block in (1 << 20, 10):
+        assert sorted(r._h for r in op9.decontaminated(odd, bench, block_bytes=block).collect()) == sorted(r._h for r in op9.decontaminated(odd, bench, max_share=0.5, block_bytes=block).collect()) == [2, 4, 5]
+        assert sorted(((r.doc_id or 0), r.n_words, r.n_hit) for r in op9.find_items(odd, bench, block_bytes=block).collect()) == [(0, 1, 0), (0, 2, 2), (7, 1, 0), (7, 2, 2), (7, 2, 2), (8, 0, 0)]
+    assert op9.decontaminated(docs, bench.where("false")).count() == docs.count()
     assert op9.find_items(docs, bench.where("false")).where("n_hit > 0").count() == 0 and op9.find_items(empty, bench).count() == 0
 
 

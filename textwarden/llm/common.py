@@ -68,6 +68,9 @@ class Scratch:
         return self
 
     def __exit__(self, *error) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
             place = jvm.org.apache.hadoop.fs.Path(path)

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, folded_spans, folded_words, map_rows, table, utf8
+from .common import Scratch, bounded_batches, folded_spans, folded_words, map_rows, staged, table, unused, utf8
 
 WINDOW = 10
 #: Bytes of item text that one automaton takes; a larger item table is scanned for in blocks of this size.
@@ -65,18 +66,18 @@ def item_blocks(items: DataFrame, key: str, text: str, limit: int) -> Iterator[l
         yield block
 
 
-def scan(text: bytes, sets: list[Patterns]) -> tuple[int, np.ndarray, list[str]]:
-    """(words, which words are hit, sorted ids of items found) of a text, which is read once a block of items."""
+def scan(text: bytes, one: Patterns) -> tuple[int, np.ndarray, list[str]]:
+    """(words, which words are hit, sorted ids of items found) of a text."""
     words = folded_words(text)
-    flat = f" {b' '.join(words).decode()} " if words else ""
+    mask = np.zeros(len(words), dtype=bool)
+    if not words or not one.windows:
+        return len(words), mask, []
+    flat = f" {b' '.join(words).decode()} "
     hits: list[tuple[int, int]] = []
     found: set[str] = set()
-    for one in sets:
-        if one.windows and flat:
-            for end, (k, n) in one.automaton().iter(flat):
-                hits.append((end, n))
-                found.update(one.items[k])
-    mask = np.zeros(len(words), dtype=bool)
+    for end, (k, n) in one.automaton().iter(flat):
+        hits.append((end, n))
+        found.update(one.items[k])
     if hits:
         at = np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32) == 32
         order = np.cumsum(at) - 1  # of the space at a pattern's end: the word after it
@@ -86,58 +87,125 @@ def scan(text: bytes, sets: list[Patterns]) -> tuple[int, np.ndarray, list[str]]
     return len(words), mask, sorted(found)
 
 
-def spans(text: bytes, mask: np.ndarray) -> list[tuple[int, int]]:
-    """Byte ranges of the original text that runs of hit words cover."""
+def spans(text: bytes, mask: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Runs of hit words: (first word, the word after the last, and the byte range of the original text that they cover)."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], mask, [False])).astype(np.int8)))
     if not edge.size:
         return []
     starts, ends = folded_spans(text)
-    return [(int(starts[a]), int(ends[b - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+    return [(int(a), int(b), int(starts[a]), int(ends[b - 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Marks the words of each text that stand in an occurrence of an item's window.
+def joined(runs: Iterable[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs of several blocks of items as one list; those that overlap or touch are one."""
+    out: list[tuple[int, int, int, int]] = []
+    for a, b, start, end in sorted(runs):
+        if out and a <= out[-1][1]:
+            _, high, first, last = out[-1]
+            out[-1] = (out[-1][0], max(b, high), first, max(end, last))
+        else:
+            out.append((a, b, start, end))
+    return out
 
-    Returns ``key``, n_words, n_hit, items (sorted ids as strings) and spans (byte ranges of the original
-    text that hit words cover).  Null and empty texts have no words; null item texts have no windows;
-    repeated rows are kept; an empty item table hits nothing; other columns are not read.
-    Items go to the workers as broadcasts of at most ``block_bytes`` of text each.
-    """
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(patterns(b, window)) for b in item_blocks(items, item_key, item_text, block_bytes)]
 
-    def work(ids, texts):
-        sets = [b.value for b in blocks]
-        for i, t in zip(ids, texts, strict=True):
-            n, mask, found = scan(t, sets)
-            yield i, n, int(mask.sum()), found, [{"start": a, "end": b} for a, b in spans(t, mask)]
+_RUN = "struct<first:bigint,after:bigint,start:bigint,end:bigint>"
+
+
+def _blocks(docs: DataFrame, items: DataFrame, item_key: str, item_text: str, window: int, block_bytes: int) -> Iterator[tuple[bool, Broadcast]]:
+    """(whether it is the only one, patterns) of each block of items; driver and workers hold one block at a time."""
+    sc, blocks = docs.sparkSession.sparkContext, item_blocks(items, item_key, item_text, block_bytes)
+    block, after = next(blocks, []), next(blocks, None)
+    only = after is None
+    while block is not None:
+        sent = sc.broadcast(patterns(block, window))
+        yield only, sent
+        if not only:
+            sent.destroy()
+        block, after = after, next(blocks, None)
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(F.col(f"`{key}`"), utf8(f"`{text}`").alias("t")), work, f"`{key}` {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>")
 
+def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Marks the words of each text that stand in an occurrence of an item's window.
 
-def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", max_share: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose share of hit words is at most ``max_share``; all columns stay.
+    Returns ``key``, n_words, n_hit, items (sorted ids as strings) and spans (byte ranges of the original
+    text that hit words cover).  Null and empty texts have no words; null item texts have no windows; rows of a null key
+    are scanned as others; repeated rows are kept; an empty item table hits nothing; an empty table gives no rows; other
+    columns are not read, whatever their names.
 
-    The texts are scanned in place, by a column expression, so nothing is shuffled.
+    An item table of at most ``block_bytes`` of text is one automaton, and the texts are read once.  A larger one is
+    scanned for in blocks, one after another; what each finds in hit texts is written to the shared folder, and the
+    runs of a text are joined by its key and hash.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(f"`{key}`").alias("i"), F.xxhash64(utf8(f"`{text}`")).alias("h"), utf8(f"`{text}`").alias("t"))
+    schema = f"i {kind}, h bigint, n bigint, runs array<{_RUN}>, items array<string>"
+    pieces, lengths = [], None
+    with Scratch(docs.sparkSession) as scratch:
+        for only, sent in _blocks(docs, items, item_key, item_text, window, block_bytes):
+
+            def work(ids, hashes, texts, sent=sent):
+                for i, h, t in zip(ids, hashes, texts, strict=True):
+                    n, mask, found = scan(t, sent.value)
+                    yield i, h, n, [dict(zip(("first", "after", "start", "end"), r, strict=True)) for r in spans(t, mask)], found
+
+            found = map_rows(rows, work, schema)
+            if only:
+                return _told(found, key)
+            found = scratch.table(found)
+            lengths = found.select("i", "h", "n") if lengths is None else lengths
+            pieces.append(found.where(F.size("items") > 0).select("i", "h", "runs", "items"))
+        every = pieces[0]
+        for piece in pieces[1:]:
+            every = every.unionByName(piece)
+        # Repeated rows find the same, so each (key, hash) counts once.
+        both = every.distinct().groupBy("i", "h").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+        def merged(ids, hashes, runs, found):
+            for i, h, r, x in zip(ids, hashes, runs, found, strict=True):
+                yield i, h, [dict(zip(("first", "after", "start", "end"), one, strict=True)) for one in joined(tuple(d.values()) for d in r)], x
+
+        hit = map_rows(both, merged, f"i {kind}, h bigint, runs array<{_RUN}>, items array<string>").toDF("i2", "h2", "runs", "items")
+        whole = lengths.join(hit, lengths.i.eqNullSafe(hit.i2) & (lengths.h == hit.h2), "left")
+        return _told(staged(whole.select("i", "h", "n", F.coalesce("runs", F.array().cast(f"array<{_RUN}>")).alias("runs"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))), key)
+
+
+def _told(found: DataFrame, key: str) -> DataFrame:
+    n_hit = F.aggregate("runs", F.lit(0).cast("bigint"), lambda a, r: a + r["after"] - r["first"])
+    return found.select(F.col("i").alias(key), F.col("n").alias("n_words"), n_hit.alias("n_hit"), "items", F.transform("runs", lambda r: F.struct(r["start"].cast("int").alias("start"), r["end"].cast("int").alias("end"))).alias("spans"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", max_share: float = 0.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose share of hit words is at most ``max_share``; all columns stay, whatever their names.
+
+    Rows of null, empty and wordless texts stay; rows of a null key and repeated rows are judged as others; an empty
+    item table drops nothing; an empty table gives no rows.  The texts are scanned in place, by a column expression, so
+    nothing is shuffled; a further block of items scans what the one before left, from the shared folder.  With a
+    ``max_share`` above 0, the keys and hashes of rejected rows are joined instead.
     """
     from pyspark.sql.functions import pandas_udf
 
     bounded_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(patterns(b)) for b in item_blocks(items, "item_id", "text", BLOCK_BYTES)]
-
-    @pandas_udf("double")
-    def share(texts):
-        sets = [b.value for b in blocks]
-
-        def of(t):
-            n, mask, _ = scan(bytes(t), sets)
-            return mask.sum() / n if n else 0.0
-
-        return texts.map(of).astype(float)
-
-    return docs.where(share(utf8("text")) <= max_share)
+    whole = utf8(f"`{text}`")
+    if max_share > 0:
+        i, h = unused(docs, "_i"), unused(docs, "_h")
+        named = docs.select(F.struct(F.col(f"`{key}`").alias("k"), F.xxhash64(whole).alias("h")).alias("i"), F.col(f"`{text}`").alias("t"))
+        bad = find_items(named, items, "i", "t", block_bytes=block_bytes).where(F.col("n_hit") > max_share * F.col("n_words"))
+        bad = bad.select(F.col("i.k").alias(i), F.col("i.h").alias(h)).distinct()
+        return docs.join(bad, F.col(f"`{key}`").eqNullSafe(F.col(i)) & (F.xxhash64(whole) == F.col(h)), "left_anti")
+    out, before = docs, Scratch(docs.sparkSession)
+    for only, sent in _blocks(docs, items, "item_id", "text", WINDOW, block_bytes):
+
+        @pandas_udf("boolean")
+        def clean(texts, sent=sent):
+            return texts.map(lambda t: not scan(bytes(t), sent.value)[2]).astype(bool)
+
+        out = out.where(clean(whole))
+        if not only:
+            now = Scratch(docs.sparkSession)
+            out = now.table(out)
+            before.clear()
+            before = now
+    return out
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
