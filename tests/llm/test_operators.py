@@ -198,6 +198,21 @@ def test_line_dedup(docs, rows, spark, empty):
     assert op2.drop_boilerplate(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [100_000, -1])
+def test_line_dedup_of_odd_tables(spark, monkeypatch, most):
+    monkeypatch.setattr(op2, "BROADCAST_LINES", most)
+    names = ["_host", "_often", "_kept", "_salt", "_own", "host", "k", "n_lines", "n_dropped"]
+    rows = [(h, f"Menu\nOwn {i}" if h != "z" else None, *[f"{n}{i}" for n in names]) for h in ("a", None, "z") for i in range(12)]
+    rows += [rows[0], rows[0], ("a", "", *names), (None, "Menu \n\n" + "long " * 50_000, *names)]
+    df = spark.createDataFrame(rows, ["source", "text", *names])
+    out = op2.drop_boilerplate(df)
+    cut = lambda h, t: None if t is None else "\n".join(x for x in t.split("\n") if x.strip() != "Menu")
+    assert out.columns == df.columns
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str((h, cut(h, t), *rest)) for h, t, *rest in rows)
+    counted = op2.drop_boilerplate(df, counts=True)
+    assert counted.columns == [*df.columns[:-2], "n_lines", "n_dropped"] and counted.agg({"n_dropped": "sum"}).first()[0] == 27
+
+
 def test_line_dedup_joins_beyond_the_broadcast(docs, monkeypatch):
     near = sorted((r.doc_id, r.text) for r in op2.drop_boilerplate(docs).collect() if r.text is not None)
     monkeypatch.setattr(op2, "BROADCAST_LINES", -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import Scratch, few, staged, table, unused
 
 #: A line goes if more than this part of its host's pages has it, and at least so many pages.
 RATIO, MIN_PAGES = 0.1, 5
@@ -38,30 +38,36 @@ def frequent_lines(pages: DataFrame, host: str = "source", text: str = "text", r
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
-    """Drops boilerplate lines from ``text``; all columns stay, and n_lines and n_dropped are added if ``counts``.
+    """Drops boilerplate lines from ``text``; all columns stay, whatever their names, and n_lines and n_dropped are added (or
+    replaced) if ``counts``.
 
     Null texts stay null and have no lines; empty texts are one blank line; pages of a null host are a host; repeated
-    rows are kept and count as one page; ties can't arise.  The texts are not shuffled while the frequent lines
-    fit in BROADCAST_LINES; beyond it they are, by host and salt, so that a hot host is many tasks.
+    rows are kept and count as one page; ties can't arise; an empty table gives no rows.  The texts are not shuffled while
+    the frequent lines fit in BROADCAST_LINES; beyond it they are, by host and a salt of the whole row, so that neither a
+    hot host nor copies of one text are one task's.
     """
-    lines = checkpointed(frequent_lines(pages, host, text, ratio, min_pages))
-    by_host = lines.groupBy("host").agg(F.collect_list("k").alias("_often")).withColumnRenamed("host", "_host")
-    here = F.col(f"`{host}`").eqNullSafe(F.col("_host"))
-    if lines.count() <= BROADCAST_LINES:
+    own, often, mark, salt, spread_salt, kept = (unused(pages, n) for n in ("_host", "_often", "_mark", "_salt", "_spread", "_kept"))
+    with Scratch(pages.sparkSession) as scratch:
+        lines = scratch.table(frequent_lines(pages, host, text, ratio, min_pages))
+        by_host = staged(lines.groupBy("host").agg(F.collect_list("k").alias(often)).withColumnRenamed("host", own))
+        small = few(lines, BROADCAST_LINES)
+    here = F.col(f"`{host}`").eqNullSafe(F.col(own))
+    if small:
         both = pages.join(F.broadcast(by_host), here, "left")
     else:
-        salt = F.pmod(F.xxhash64(f"`{text}`"), F.lit(SALTS))
-        spread = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        both = pages.withColumn("_own", salt).join(spread, here & (F.col("_own") == F.col("_salt")), "left").drop("_own", "_salt")
+        hashed = [f"`{c}`" for c, kind in pages.dtypes if "map<" not in kind and kind != "variant"]
+        spread = by_host.withColumn(spread_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = pages.withColumn(salt, F.pmod(F.xxhash64(*hashed), F.lit(SALTS))).join(spread, here & (F.col(salt) == F.col(spread_salt)), "left").drop(salt, spread_salt)
     split = F.split(F.col(f"`{text}`"), "\n")
-    often = F.coalesce("_often", F.array().cast(by_host.schema["_often"].dataType))
-    kept = F.when(F.size(often) > 0, F.filter(split, lambda x: ~F.array_contains(often, _key(x)))).otherwise(split)
-    out = both.withColumn("_kept", kept)
+    known = F.coalesce(often, F.array().cast(by_host.schema[often].dataType))
+    out = both.withColumn(kept, F.when(F.size(known) > 0, F.filter(split, lambda x: ~F.array_contains(known, _key(x)))).otherwise(split))
+    told = {}
     if counts:
         size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
         zero = F.when(F.col(f"`{text}`").isNull(), F.lit(0).cast("bigint"))
-        out = out.withColumn("n_lines", zero.otherwise(size(split))).withColumn("n_dropped", zero.otherwise(size(split) - size(F.col("_kept"))))
-    return out.withColumn(text, F.array_join("_kept", "\n")).drop("_often", "_host", "_kept")
+        told = {"n_lines": zero.otherwise(size(split)), "n_dropped": zero.otherwise(size(split) - size(F.col(kept)))}
+    same = [F.array_join(kept, "\n").alias(c) if c == text else F.col(f"`{c}`") for c in pages.columns if c not in told]
+    return out.select(*same, *[c.alias(n) for n, c in told.items()])
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
