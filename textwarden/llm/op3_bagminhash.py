@@ -28,8 +28,8 @@ BROADCAST_IDS = 1_000_000
 SMALL_BUCKET = 32
 #: Rows and bytes of a block of queries or of members, and blocks of queries that a round compares with all members.
 BLOCK, BLOCK_BYTES, BLOCKS_AT_ONCE = 1000, 8 << 20, 2
-#: Edges that one worker joins to trees at once.
-CHUNK = 200_000
+#: Edges that a worker joins to trees at once, and edges of a partition after the first turn.
+CHUNK, SPREAD = 200_000, 10_000
 GROUP_BYTES = 2 << 20
 
 U = np.uint64
@@ -284,8 +284,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(d, c): the smallest id of each linked node's component.
 
     Workers join chunks of edges to trees.  A node that stands in several chunks links their roots, and those links are
-    the edges of the next turn.  As roots are the nodes of the least hash, another one each turn, a third of the nodes goes
-    a turn at least, whatever the order of ids; commonly the links left fit in one chunk at once.  A node's roots are
+    the edges of the next turn, dealt evenly.  As roots are the nodes of the least hash, another one each turn, a third of the
+    nodes goes a turn at least, whatever the order of ids; commonly the links left fit in one chunk at once.  A node's roots are
     at most as many as there are chunks.
     """
     turns, now = [], edges.select("a", "b")
@@ -299,7 +299,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         n = left.count()
         if not n:
             break
-        now = left.repartition(-(-n // CHUNK), "b")
+        now = left.repartition(-(-n // SPREAD))
     label = turns.pop()
     while turns:
         above = label.toDF("c", "root")
