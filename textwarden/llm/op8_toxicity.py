@@ -198,8 +198,9 @@ def fit_tables(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Mode
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and score of every row.  Null and empty texts are scored as a text without words; repeated rows are kept;
-    other columns are not read."""
+    """``key`` and score of every row.  Null and empty texts are scored as a text without words; rows of a null key are scored
+    as others; equal texts have equal scores; repeated rows are kept; an empty table gives no rows; other columns are not
+    read, whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(ids, texts):
@@ -210,8 +211,11 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return map_rows(docs.select(F.col(f"`{key}`"), utf8(f"`{text}`").alias("t")), work, f"`{key}` {kind}, score double")
 
 
-def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns, in place."""
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns, whatever their names, in place.
+
+    Null and empty texts are scored as a text without words; rows of a null key and repeated rows are scored as others; an
+    empty table gives no rows."""
     from pyspark.sql.functions import pandas_udf
 
     bounded_batches(docs.sparkSession)
@@ -221,7 +225,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     def score(texts):
         return texts.map(lambda t: sent.value.score(normal(bytes(t).decode()))).astype(float)
 
-    return docs.where(score(utf8("text")) < threshold)
+    return docs.where(score(utf8(f"`{text}`")) < threshold)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
