@@ -315,11 +315,6 @@ def test_first_of_class(spark, empty):
 # --- packing
 
 
-def check_packing(rows, sources, clusters, capacity, per_source):
-    tokens = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1 for i, t in dict(rows).items()}
-    return tokens
-
-
 def test_best_fit_is_the_tightest_compatible_bin():
     r = random.Random(4)
     sizes = [r.randrange(1, 60) for _ in range(300)]
@@ -358,6 +353,39 @@ def test_pack_keeps_everything(docs, rows, empty):
     assert op4.pack(empty).count() == 0
 
 
+def test_packing_query_against_brute_force(spark, tmp_path):
+    """One shard, packed plainly: pieces largest first, ties by id, each into the tightest bin that may take it."""
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    rows = [(k, text(r.choice([3, 700, 1300, 2000, 4095, 9000])), r.choice([None, "hot", "hot", "b"])) for k in range(90)]
+    rows += [(100 + k, rows[k][1], "hot") for k in range(10)] + [(200, None, "b"), (201, "", None), (202, " \n", "b"), (203, "x", "b"), (203, "x", "b"), (None, "y z", "hot")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 AS shard", "2 AS n", "3 AS c").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = []
+    for i, t, s in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, len((x[1] or "").split()), x[2] is not None, x[2] or "")):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1
+        pieces += [(i, p, min(4096, n - 4096 * p), s, t or None) for p in range(-(-n // 4096))]
+    bins, want = [], {}
+    for x in sorted((x for x in pieces if x[2] < 4096), key=lambda x: -x[2]):
+        left = lambda b: 4096 - sum(y[2] for y in b)
+        may = [k for k, b in enumerate(bins) if left(b) >= x[2] and (x[3] is None or sum(y[3] == x[3] for y in b) < 4) and (x[4] is None or all(y[4] != x[4] for y in b))]
+        k = min(may, key=lambda k: (left(bins[k]), k), default=len(bins))
+        if k == len(bins):
+            bins.append([])
+        want.setdefault((x[0], x[1], x[2]), []).append((k, sum(y[2] for y in bins[k])))
+        bins[k].append(x)
+    for x in (x for x in pieces if x[2] == 4096):
+        want.setdefault((x[0], x[1], x[2]), []).append((len(bins), 0))
+        bins.append([x])
+    got = {}
+    for g in op4.op4_packing(spark, str(tmp_path)).collect():
+        got.setdefault((g.doc_id, g.part, g.n_tokens), []).append((g.bin, g.start))
+    tied = lambda d: {k: len(v) for k, v in d.items()}
+    assert tied(got) == tied(want)
+    same = {k for k, v in want.items() if len(v) == 1 and k[0] is not None}
+    assert {k: got[k] for k in same} == {k: want[k] for k in same}
+    assert sorted(x for v in got.values() for x in v) == sorted(x for v in want.values() for x in v)
+
+
 # --- HTML
 
 
@@ -588,6 +616,39 @@ def test_no_labels(spark, docs, rows):
     assert op8.without_toxic(docs, op8.fit_tables(docs, labels)).count() == len(rows)
 
 
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    import zstandard
+
+    r = random.Random(13)
+    plain = ["".join(r.choices(["ba", "do", "li", "mu", "né", "ro", "ta"], k=r.randrange(1, 5))) for _ in range(400)]
+    text = lambda bad: " ".join(r.choices(plain, k=r.randrange(10, 90)) + r.choices(["zwuxxle", "vrexnit", "krolwaz"], k=3 * bad))
+    rows = [(k, text(k % 4 == 0), "en", f"s{k % 3}") for k in range(240)] + [(300, None, None, None), (301, "", "fr", "x"), (302, "long " * 30_000, "en", "x"), (303, text(1), "en", "x"), (303, text(0), "en", "x"), (None, text(1), "en", "x"), (None, text(1), "en", "x")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").selectExpr("*", "0.5D AS score", "1 AS t").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, int(k % 4 == 0)) for k in range(0, 240, 1)] + [(None, 1), (5, None), (302, 0)]
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = op8.fit_tables(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+
+    def size(content, window):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=op8._PARAMETERS).compress(window))
+
+    def score(t):
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower().encode())
+        flat = b" " + b"".join(w[:6].upper() + w[6:] + b" " for w in words)
+        found = sorted(size(model.ordinary, w) - size(model.toxic + model.ordinary, w) for w in op8.windows(flat)) or [0]
+        x = [found[-1], sum(found[-3:]), sum(found) / len(found), np.log(len(found)), sum(v >= 3 for v in found) / len(found), np.log1p(sum(v >= 5 for v in found))]
+        return 1 / (1 + np.exp(-(model.weights[0] + sum(w * (v - c) / s for w, v, c, s in zip(model.weights[1:], x, model.center, model.scale)))))
+
+    got = sorted((g.doc_id if g.doc_id is not None else -1, round(g.score, 6), g.predicted, g.held_out) for g in op8.op8_toxicity(spark, str(tmp_path)).collect())
+    brute = [(i, score(t)) for i, t, *_ in rows if len(t or "") < 9999]
+    brute += [(302, score("long " * 30_000))]
+    want = sorted((-1 if i is None else i, round(v, 6), int(v >= 0.5), None if i is None else zlib.crc32(str(i).encode()) % 5 == 0) for i, v in brute)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert {g[0]: g[3] for g in got if g[0] >= 0} == {w[0]: w[3] for w in want if w[0] >= 0}
+    held = [(k % 4 == 0, dict((g[0], g[2]) for g in got)[k]) for k in range(240) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(a == b for a, b in held) >= 0.9 * len(held)  # labels that it never saw
+
+
 # --- decontamination
 
 

@@ -431,3 +431,18 @@ def first_of_class(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The same classes by all pairs.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), b AS (
+  SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, array_to_string(ws[k:k + least(len(ws), 5) - 1], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS k FROM w WHERE len(ws) > 0)) GROUP BY doc_id, s
+), t AS (SELECT doc_id, sum(n) AS total FROM b GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS low FROM b x JOIN b y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM p JOIN t ta ON ta.doc_id = a JOIN t tb ON tb.doc_id = b WHERE CAST(low AS DOUBLE) / CAST(ta.total + tb.total - low AS DOUBLE) >= 0.8),
+ends AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, ends.b FROM r JOIN ends ON r.c = ends.a)
+SELECT doc_id, min(c) AS class_id FROM r GROUP BY doc_id
+"""

@@ -20,6 +20,7 @@ QUERIES = {
 #: Those that SQL can express; tests/llm hold the others against brute force.
 SQL = {
     "op2_lines": op2_lines.OP2_SQL,
+    "op3_bagminhash": op3_bagminhash.OP3_SQL,
     "op6_substrings": op6_substrings.OP6_SQL,
     "op7_chat": op7_chat.OP7_SQL,
     "op9_decontaminate": op9_decontaminate.OP9_SQL,
