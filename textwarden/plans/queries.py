@@ -213,7 +213,20 @@ def high_entropy_tokens(spark, sf_dir):
     return tokens.withColumn("h", entropy(F.col("token"))).where("h > 4.0").select("doc_id", "token", F.round("h", 6).alias("entropy"))
 
 
-@query("secrets_scan")
+def _secrets_sql() -> str:
+    shapes = [(n, f"regexp_matches(text, {_q(r)})") for n, (r, _) in scanners.SECRET_PREFIXES.items()]
+    aws = rf"(?is)(?:aws|secret).{{0,{scanners.AWS_WINDOW}}}?(?-i:{scanners.AWS_SECRET})", rf"(?s){scanners.AWS_SECRET}.{{0,{scanners.AWS_WINDOW}}}?\b(?:aws|secret|AWS|SECRET)\b"
+    shapes.append(("aws-secret-key", f"(regexp_matches(text, {_q(aws[0])}) OR regexp_matches(text, {_q(aws[1])})) AND regexp_matches(text, {_q('(?i)' + scanners.AWS_CONTEXT)})"))
+    high = ", ".join(f"CASE WHEN {c} THEN {_q(n)} END" for n, c in shapes)
+    part = "len(list_filter(string_split(t, ''), lambda d: d = c)) / length(t)"
+    bits = f"list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: -({part}) * log2({part})))"
+    dense = f"len(list_filter({_FIELDS}, lambda t: length(t) >= {scanners.ENTROPY_MIN_LENGTH} AND regexp_matches(t, {_q(scanners.ENTROPY_TOKEN)}) AND regexp_matches(t, '[0-9]') AND {bits} > {scanners.ENTROPY_MIN})) > 0"
+    return f"""WITH {DOCS}, s AS (SELECT doc_id, list_filter([{high}], lambda x: x IS NOT NULL) AS high, regexp_matches(text, {_q('(?i)' + scanners.SECRET_ASSIGNMENT)}) AS medium, {dense} AS low FROM docs)
+SELECT doc_id, array_to_string(list_concat(high, CASE WHEN medium THEN ['secret-assignment'] ELSE [] END, CASE WHEN low THEN ['high-entropy-token'] ELSE [] END), ',') AS types,
+  CASE WHEN len(high) > 0 THEN 'high' WHEN medium THEN 'medium' WHEN low THEN 'low' ELSE '' END AS confidence FROM s"""
+
+
+@query("secrets_scan", _secrets_sql())
 def secrets_scan(spark, sf_dir):
     return docs(spark, sf_dir).withColumn("x", scanners.secrets(F.col("text"))).select("doc_id", F.array_join("x.types", ",").alias("types"), "x.confidence")
 
