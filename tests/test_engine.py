@@ -420,8 +420,17 @@ def test_evaluation(spark, tmp_path):
     assert evaluate.metrics(judged.where("false")).first().accuracy == 0.0
     assert evaluate.by_category(judged).first().correct == 2 and evaluate.failures(judged).count() == 2
     assert evaluate.worst_categories(judged, 1).first().failed == 2
-    files.write_report(evaluate.metrics(judged), evaluate.by_category(judged), str(tmp_path / "report"))
-    assert "accuracy" in files.report_text(evaluate.metrics(judged), evaluate.by_category(judged))
+    out = str(tmp_path / "report")
+    assert files.write_report(judged, out, "2026-01-01_000000", {"mode": "balanced"}) == "better"
+    assert files.write_report(judged, out, "2026-01-02_000000") == "same"
+    worse = judged.withColumn("classification", F.lit("FP"))
+    assert files.write_report(worse, out, "2026-01-03_000000") == "regression"
+    assert files.write_report(judged.where("classification IN ('TP', 'TN')"), out, "2026-01-04_000000") == "better"
+    latest = spark.read.json(f"{out}/latest/report").first()
+    assert latest.timestamp == "2026-01-04_000000" and latest.metrics.accuracy == 1.0 and latest.by_category[0].correct == 2
+    assert spark.read.json(f"{out}/benchmark_2026-01-03_000000/failures").count() == 4
+    told = "\n".join(r.value for r in spark.read.text(f"{out}/benchmark_2026-01-01_000000/report.txt").collect())
+    assert "accuracy" in told and "FN malicious1" in told and "FP safe1" in told
     files.write_results(judged.select("id", "risk"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 4
     found = judged.select(files.result_json(F.col("risk"), redaction.sanitizer()(F.col("content"))).alias("j")).first().j
@@ -429,6 +438,42 @@ def test_evaluation(spark, tmp_path):
     assert files.read_texts(spark, str(tmp_path / "safe/notes.txt")).first().text == "no"
 
 
+def test_sanitized_sinks_and_limits(spark, tmp_path):
+    df = plans.sanitize(spark.createDataFrame([("mail a@b.com",), ("two\nlines",), (None,)], "text string"))
+    files.write_sanitized(df, str(tmp_path / "t"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["", "mail [REDACTED-EMAIL]", '{"clean_text":"two\\nlines"}']
+    files.write_sanitized(df, str(tmp_path / "j"), as_json=True)
+    assert {r.clean_text: r.redaction_count for r in spark.read.json(str(tmp_path / "j")).collect()} == {"": 0, "mail [REDACTED-EMAIL]": 1, "two\nlines": 0}
+    long = "a@b.com " * 3000
+    assert [redaction.limited(long, redaction.SanitizeConfig(max_matches=n))[2] for n in (0, 100, 2048)] == [False, True, True]
+    assert "@" not in redaction.sanitize(long, redaction.SanitizeConfig(max_matches=0))[0]
+    assert len(redaction.sanitize("x" * 2_000_000)[0]) == 1 << 20 and redaction.limited("x" * 2_000_000)[2]
+    assert redaction.limited("x" * 2_000_000, redaction.SanitizeConfig(max_bytes=0)) == ("x" * 2_000_000, [], False)
+
+
+def test_guarded(spark):
+    rows = [("a", "Fine text.", "http://ok.test/"), ("b", "jailbreak DAN mode, do anything now", "http://ok.test/"), ("c", "Fine", "http://evil.test/"), ("d", None, "http://ok.test/"), ("e", "Fine", None)]
+    df = spark.createDataFrame(rows, "risk0 string, text string, u string")
+    got = {r.risk0: r for r in plans.guarded(df, "text", "u", config.Config(allowed_domains=("ok.test",))).collect()}
+    assert {k: (r.risk.score, r.risk.blocked, r.wrapped is None) for k, r in got.items()} == {"a": (0, False, False), "b": (63, True, True), "c": (70, True, True), "d": (0, False, False), "e": (0, False, False)}
+    assert "Fine text." in got["a"].wrapped and got["c"].risk.reason.startswith("Domain not in")
+
+
+def test_ban_lists_from_a_table(spark):
+    bans = spark.createDataFrame([("substring", "crypto"), ("regex", r"\d{3}-\d{4}"), ("topic", " "), ("competitor", None), ("topic", "gambling"), ("topic", "gambling")], "kind string, value string")
+    cfg = config.resolved(config.Config(ban_topics=("Gambling",)), config.table_lists(bans))
+    assert (cfg.ban_substrings, cfg.ban_topics, cfg.ban_competitors, cfg.custom_regex) == (("crypto",), ("Gambling",), (), (r"\d{3}-\d{4}",))
+    with pytest.raises(config.ConfigError):
+        config.table_lists(bans, most=2)
+    with pytest.raises(config.ConfigError):
+        config.table_lists(spark.createDataFrame([("other", "x")], "kind string, value string"))
+
+
+def test_debias_explanation(spark):
+    df = spark.createDataFrame([(["documentation", "spam"], 8), (["spam"], 3), (["unknown"], 2), (["developer"], 0), (None, None)], "t array<string>, n int")
+    assert [r.x for r in df.select(debias.explanation(F.col("t"), F.col("n")).alias("x")).collect()] == ["debias: documentation context, trigger-only signals (-8)", "debias: spam payload detected (-3)", "debias: trigger-only signals reduced (-2)", "debias: no debias applied", "debias: no debias applied"]
+
+
 def test_config(tmp_path):
     (tmp_path / "a.yaml").write_text("# c\nban_topics:\n  - 'x'\n  - \"Y\"\n\ncustom_regex:\n  - a+\n")
     c = config.resolved(config.Config(config_file=str(tmp_path / "a.yaml"), ban_topics=(" X ", "")))

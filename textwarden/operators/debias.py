@@ -9,12 +9,13 @@ from ..functions import lexicon as lex
 from ..functions.text import WHITE, contains_any, count_contains, fields, let, trimmed, words
 from .scanners import keyword_gate
 
-# Words of the context score.
+# Words of the context score, explanations by payload type (the first that fits is told), points by payload type.
 OPENERS = ["the ", "a ", "an ", "this ", "these ", "those ", "it ", "they "]
 CONNECTORS = ["please", "thank", "sorry", "however", "although", "because", "therefore", "additionally"]
 DOC_HINTS = ["example", "note:", "tip:", "warning:", "see also", "refer to", "placeholder", "replace"]
 DEV_HINTS = ["npm", "package", "config", "settings", "environment", "variable", "flag", "option"]
 POLITE = ["kindly", "appreciate", "regards", "sincerely", "hello", "hi ", "dear "]
+EXPLANATIONS = {"documentation": "documentation context, trigger-only signals", "developer": "developer context, trigger-only signals", "dumb-bot": "dumb-bot payload detected", "spam": "spam payload detected"}
 PENALTIES = {"dumb-bot": 15, "spam": 10, "documentation": 10, "developer": 5}
 
 
@@ -94,6 +95,14 @@ def _context_score(text: Column, low: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), total))
 
 
+def explanation(types: Column, lost: Column) -> Column:
+    """Why a score was eased, by its payload types and the points it lost; null types are those of a row without a finding."""
+    told = F.lit("trigger-only signals reduced")
+    for kind, words in reversed(EXPLANATIONS.items()):
+        told = F.when(F.array_contains(types, kind), words).otherwise(told)
+    return F.when(F.coalesce(lost, F.lit(0)) > 0, F.concat(F.lit("debias: "), told, F.lit(" (-"), lost.cast("string"), F.lit(")"))).otherwise("debias: no debias applied")
+
+
 def debiased(types: Column, context: Column, score: Column, trigger: Column, injection: Column, banned: Column) -> Column:
     """The score after debiasing, by payload types and context score; unchanged beside an injection, a ban-list match or an
     attack payload.  Each argument is named several times, so pass columns, not expressions."""

@@ -53,3 +53,13 @@ def counters(df: DataFrame, risk: str = "risk") -> DataFrame:
     threat = F.size(F.col(f"{risk}.patterns")) > 0
     c = df.agg(F.count("*").alias("total"), F.count_if(F.col(f"{risk}.blocked")).alias("blocked"), F.count_if(threat).alias("threats"), F.count_if(~threat).alias("clean"))
     return c.withColumn("block_rate", F.coalesce(F.try_divide(F.col("blocked").cast("double"), F.col("total").cast("double")), F.lit(0.0)))
+
+
+def compared(now: DataFrame, best: DataFrame) -> str:
+    """"regression", "better" or "same": one row of metrics() against that of the best run.  More false positives or negatives
+    are a regression; fewer, or a higher F1 at as many, are better."""
+    a, b = now.first(), best.first()
+    fp, fn = a.false_positives - b.false_positives, a.false_negatives - b.false_negatives
+    if fp > 0 or fn > 0:
+        return "regression"
+    return "better" if fp < 0 or fn < 0 or a.f1_score > b.f1_score + 1e-9 else "same"

@@ -14,6 +14,7 @@ from ..operators.domain import check_domain
 from ..operators.matching import told
 from ..operators.normalize import DECODE_DEPTH, DECODE_VARIANTS, clamped, prepare
 from ..operators.sanitize import SanitizeConfig, sanitizer
+from ..operators.wrap import wrap
 from ..sources.config import Config, parse_mode, resolved
 from ..sources.service import escalate
 
@@ -128,6 +129,18 @@ def assess_by_mode(df: DataFrame, text: str, mode: str, engines: dict[str, Confi
     return settled(out, "risk", risk).drop(chosen, *names)
 
 
+def guarded(df: DataFrame, text: str, url: str, cfg: Config = Config(), max_chars: int = 512 * 1024) -> DataFrame:
+    """The way of a page to a model: its domain is checked, then its text (at most ``max_chars``) is assessed, then wrapped.
+
+    Adds ``risk`` (of the domain where that is blocked, its text is not assessed then) and ``wrapped``, null for blocked rows."""
+    own, seen = unused(df, "_domain", "_text")
+    out = settled(df, own, check_domain(col(url), list(cfg.allowed_domains), cfg.strict))
+    out = out.withColumn(seen, F.when(~col(own)["blocked"], F.left(col(text), F.lit(max_chars))))
+    out = assess(out, seen, None, cfg)
+    out = settled(out, "risk", F.when(col(own)["blocked"], col(own)).otherwise(F.col("risk")))
+    return out.withColumn("wrapped", F.when(~F.col("risk.blocked"), wrap(col(seen), col(url)))).drop(own, seen)
+
+
 def sanitize(df: DataFrame, text: str = "text", cfg: SanitizeConfig = SanitizeConfig(), output: bool = False) -> DataFrame:
     """Adds ``sanitized`` (clean_text, redactions with byte offsets in the original)."""
     return df.withColumn("sanitized", sanitizer(cfg.for_output() if output else cfg)(col(text)))
@@ -154,4 +167,4 @@ def over_defense_suite(spark: SparkSession, cfg: Config = Config()) -> DataFrame
     return assess(spark.createDataFrame(SENTENCES, "name string, text string"), "text", None, cfg)
 
 
-__all__ = ["assess", "assess_by_mode", "assess_output", "assess_pair", "chat_pairs", "over_defense_suite", "sanitize", "sanitize_and_assess", "scan"]
+__all__ = ["assess", "assess_by_mode", "assess_output", "assess_pair", "chat_pairs", "guarded", "over_defense_suite", "sanitize", "sanitize_and_assess", "scan"]

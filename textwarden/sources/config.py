@@ -110,6 +110,23 @@ def env_lists(prefix: str, environ: dict[str, str] | None = None) -> dict[str, l
     return {k: [x.strip() for x in env.get(f"{prefix}_{k.upper()}", "").split(",") if x.strip()] for k in LISTS}
 
 
+def table_lists(bans, kind: str = "kind", value: str = "value", most: int = 10_000) -> dict[str, list[str]]:
+    """The lists of a table of bans: rows of a kind (substring, topic, competitor, regex) and a value.
+
+    They become part of the plan, so more than ``most`` distinct rows are an error.  Null and blank values are passed over; an
+    unknown kind is an error."""
+    rows = bans.select(kind, value).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ConfigError(f"a ban list may have {most} rows")
+    names = {"substring": "ban_substrings", "topic": "ban_topics", "competitor": "ban_competitors", "regex": "custom_regex"}
+    out: dict[str, list[str]] = {k: [] for k in LISTS}
+    for k, v in sorted((r[0] or "", r[1]) for r in rows if (r[1] or "").strip()):
+        if k not in names:
+            raise ConfigError(f"unknown kind of ban: {k}")
+        out[names[k]].append(v)
+    return out
+
+
 def resolved(cfg: Config, extra: dict[str, list[str]] | None = None) -> Config:
     """The config with its file's and further lists merged, and checked."""
     lists = {k: list(getattr(cfg, k)) for k in LISTS}
