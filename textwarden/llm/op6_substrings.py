@@ -304,7 +304,9 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     Shuffled are: chosen and high symbols (pre-aggregated, one key and id each), the open windows likewise, the
     texts once by key, and for each document the symbols and windows that are its own.  No list is longer than
     the document it belongs to, and no group of copies meets anywhere but in sums.
-    Names carry 64 bits and are believed only with a second 64-bit fingerprint.
+    Across documents, symbols and windows are told apart by 128 bits: names and a second fingerprint (high symbols, windows),
+    or names alone where a name that stands once can only keep words (chosen symbols).  A document's own list of them, sent back
+    to it, holds 64 bits each (``a ^ b``): in a text of n words, a chance of n * n / 2^64 that one is taken for another.
     """
     bounded_batches(df.sparkSession)
     last = F.lit((1 << 63) - 1)

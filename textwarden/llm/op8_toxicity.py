@@ -1,7 +1,7 @@
 """Toxicity by compression distance: windows are compressed with two trained zstandard dictionaries.
 
-Both dictionaries end in the same content, trained on ordinary text; one has, before it, content trained on excerpts of
-toxic text.  What a window saves with that one is a measure of toxic strings in it, and nearly nothing else.
+One dictionary is trained on excerpts of toxic text, one on ordinary text without such excerpts.  A window is compressed
+with the ordinary one alone and with both: what it saves is a measure of toxic strings in it, and nearly nothing else.
 Calibrated thresholds on the savings of a text's windows make the score.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import cache
 from math import log, log1p, sqrt
 
 import numpy as np
@@ -135,9 +136,15 @@ class Model:
 
 
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    """Two separate dictionaries: of the marked words of toxic texts, and of all windows of ordinary texts that hold none."""
     marks, r = markers(toxic, ordinary), random.Random(7)
-    excerpts = [b" " + w + b" " for t in toxic for w in t.split() if any(s in marks for s in strings(w))]
-    plain = [w for t in ordinary for w in windows(t)]
+
+    @cache
+    def marked(word: bytes) -> bool:
+        return any(s in marks for s in strings(word))
+
+    excerpts = [b" " + w + b" " for t in toxic for w in t.split() if marked(w)]
+    plain = [w for t in ordinary for w in windows(t) if not any(map(marked, w.split()))]
     r.shuffle(excerpts)
     r.shuffle(plain)
     return Model(trained([b"".join(excerpts[k : k + 8]) for k in range(0, len(excerpts), 8)], TOXIC_BYTES, 32), trained(plain, ORDINARY_BYTES, 64))
@@ -156,7 +163,7 @@ def calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(toxic: list[str | None], ordinary: list[str | None]) -> Model:
-    """Dictionaries of all windows of the ordinary texts and of the marked words of the toxic ones; the calibration is fitted on savings by dictionaries of the other half."""
+    """Dictionaries as above; the calibration is fitted on savings by dictionaries of the other half."""
     t, o = [normal(x) for x in toxic], [normal(x) for x in ordinary]
     model = dictionaries(t, o)
     model.base = len(t) / max(1, len(t) + len(o))
