@@ -37,16 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="textwarden-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(found)  # found again by the next caller
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a compressed table in the shared folder.  It stays there: what is returned reads it."""
     return Scratch(df.sparkSession).table(df)
