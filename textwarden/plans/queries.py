@@ -518,9 +518,50 @@ def assess_balanced(spark, sf_dir):
     return _risk(plans.assess(docs(spark, sf_dir)), "doc_id")
 
 
+STRICT = Config(mode="fast", strict=True, ban_substrings=tuple(BAN["substrings"]))
+
+
 @query("assess_fast_strict")
 def assess_fast_strict(spark, sf_dir):
-    return _risk(plans.assess(docs(spark, sf_dir), cfg=Config(mode="fast", strict=True, ban_substrings=tuple(BAN["substrings"]))), "doc_id")
+    return _risk(plans.assess(docs(spark, sf_dir), cfg=STRICT), "doc_id")
+
+
+def _gibberish_sql() -> str:
+    bare = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160))"
+    compact = "translate(b, ' ' || chr(10) || chr(13), '')"
+    clean = f"length(b) < 20 OR starts_with(b, 'http://') OR starts_with(b, 'https://') OR regexp_matches(b, {_q('(?i)' + scanners.CODE_WORDS)}) OR (ends_with(b, '=') AND length({compact}) >= 24 AND regexp_full_match({compact}, '[A-Za-z0-9+/]+={{1,2}}'))"
+    part = "len(list_filter(string_split(t, ''), lambda d: d = c)) / length(t)"
+    bits = f"list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: -({part}) * log2({part})))"
+    ratio = "len(list_filter(ws, lambda x: length(x) > 4 AND regexp_matches(x, '[bcdfghjklmnpqrstvwxyz]{4}'))) / len(ws)"
+    return f"""SELECT b.doc_id, coalesce(NOT clean AND len(ws) > 0 AND (ratio > 0.30 OR (length(b) > 40 AND hits < 2)), false) AS odd, coalesce(NOT clean AND len(ws) > 0 AND dense, false) AS block
+FROM (SELECT doc_id, {bare} AS b, {clean} AS clean, {_WORDS} AS ws, {ratio} AS ratio, len(list_filter({_FIELDS}, lambda t: length(t) >= 16 AND {bits} > 4.8)) > 0 AS dense FROM docs) b LEFT JOIN ({SQL["etaoin_top6"]}) e USING (doc_id)"""
+
+
+def _assessed_sql() -> str:
+    penalties = " + ".join(f"CASE WHEN list_contains(kinds, {_q(k)}) THEN {n} ELSE 0 END" for k, n in debias.PENALTIES.items())
+    named = ", ".join(f"{n} AS ({SQL[q]})" for n, q in (("base", "risk_score_fast"), ("sec", "secrets_scan"), ("tox", "toxicity_scan"), ("emo", "emotion_scan"), ("atk", "attack_phrase_boost"), ("ctx", "debias_context_score"), ("pay", "debias_payload_types"), ("kw", "injection_keyword_gate")))
+    return f"""WITH {DOCS}, {HITS}, found AS (SELECT DISTINCT doc_id FROM hits), gib AS ({_gibberish_sql()}), {named},
+f AS (
+  SELECT docs.doc_id, found.doc_id IS NOT NULL AS hit, kw.gate, base.score AS rules, sec.types AS secrets, CASE sec.confidence WHEN 'high' THEN 25 WHEN 'medium' THEN 15 WHEN 'low' THEN 10 ELSE 0 END AS secret_points,
+    gib.odd, gib.block, tox.is_toxic, tox.tier1, tox.tier2, tox.tier3, emo.points >= 10 AS moved, emo.points AS emotion, atk.points AS attack, {count_of("lower(text)", BAN["substrings"])} AS bans, ctx.context, string_split(pay.types, ',') AS kinds
+  FROM docs LEFT JOIN found USING (doc_id) JOIN kw USING (doc_id) JOIN base USING (doc_id) JOIN sec USING (doc_id) JOIN gib USING (doc_id) JOIN tox USING (doc_id) JOIN emo USING (doc_id) JOIN atk USING (doc_id) JOIN ctx USING (doc_id) JOIN pay USING (doc_id)
+), g AS (
+  SELECT *, hit OR secrets <> '' OR odd OR block OR is_toxic OR moved OR bans > 0 AS live,
+    rules + secret_points + (CASE WHEN gate THEN CASE WHEN odd THEN 20 ELSE 0 END + CASE WHEN block THEN 15 ELSE 0 END WHEN odd OR block THEN 5 ELSE 0 END)
+      + least(30, CASE WHEN is_toxic AND gate THEN 18 WHEN is_toxic THEN 8 ELSE 0 END + CASE WHEN tier1 THEN 20 ELSE 0 END) + (CASE WHEN moved AND gate THEN least(emotion, 35) WHEN moved THEN 8 ELSE 0 END) + attack + least(60, 30 * bans) AS score,
+    CASE WHEN is_toxic AND tier3 AND NOT tier1 AND NOT tier2 AND NOT gate THEN 8 ELSE 0 END + CASE WHEN secrets = 'high-entropy-token' THEN secret_points ELSE 0 END + CASE WHEN (odd OR block) AND NOT gate THEN 5 ELSE 0 END AS weak
+  FROM f
+), h AS (SELECT *, CASE WHEN hit THEN weak ELSE greatest(weak, score) END AS trig, least(30, {penalties}) AS payload, CASE WHEN context >= 60 THEN 100 WHEN context >= 30 THEN 60 WHEN context >= 10 THEN 30 ELSE 0 END AS part FROM g),
+i AS (SELECT *, CASE WHEN hit THEN greatest(score - trig, 0) ELSE 0 END AS injection, greatest(score - payload, 0) AS lowered, (least(trig, CASE WHEN context >= 30 THEN 25 ELSE 15 END) * part + 50) // 100 AS scaled FROM h),
+j AS (SELECT *, CASE WHEN NOT live THEN 0 ELSE least(100, CASE WHEN injection > 0 OR bans > 0 OR list_contains(kinds, 'attack') THEN score WHEN trig <= 0 THEN lowered ELSE greatest(lowered - CASE WHEN part = 0 THEN 0 ELSE scaled END, 0) END) END AS final FROM i)
+SELECT doc_id, CAST(final AS INT) AS score, {LEVEL.replace("score", "final")} AS level, final >= 40 AS blocked, round(CASE WHEN NOT live OR bans > 0 OR trig <= 0 OR injection <> 0 THEN 0.0 ELSE least(trig / 30.0, 1.0) END, 6) AS over_defense_risk FROM j"""
+
+
+@query("assess_fast_scores", _assessed_sql())
+def assess_fast_scores(spark, sf_dir):
+    """The scores of assess_fast_strict(): whole assessments, rules to debiasing, which SQL can follow in this mode."""
+    found = plans.assess(docs(spark, sf_dir), cfg=STRICT)
+    return found.select("doc_id", "risk.score", "risk.level", "risk.blocked", F.round("risk.over_defense_risk", 6).alias("over_defense_risk"))
 
 
 @query("assess_pages")
