@@ -386,7 +386,28 @@ def output_urls(spark, sf_dir):
     return urls.select("doc_id", "url", contains_any(low, lex.URL_TLDS).alias("suspicious_tld"), matches(low, output_scan.IP_URL).alias("ip_url"), contains_any(low, lex.URL_PATH_WORDS).alias("suspicious_path"))
 
 
-@query("output_url_risk")
+def _url_risk_sql() -> str:
+    o = output_scan
+    part = "len(list_filter(string_split(v, ''), lambda d: d = c)) / length(v)"
+    bits = f"list_sum(list_transform(list_distinct(string_split(v, '')), lambda c: -({part}) * log2({part})))"
+    values = "list_transform(string_split(regexp_extract(low, '\\?([^#]*)', 1), '&'), lambda p: url_decode(regexp_extract(p, '(?s)=(.*)', 1)))"
+    known = " OR ".join(f"host = {_q(d)} OR ends_with(host, {_q('.' + d)})" for d in [*o.EXAMPLE_DOMAINS, *lex.URL_SAFE_DOMAINS])
+    port = f"regexp_extract(low, {_q(o.PORT)}, 1)"
+    kinds = {
+        "high": [("ip-url", f"regexp_matches(low, {_q(o.IP_URL)})"), ("data-exfiltration", f"regexp_matches(low, {_q(o.DATA_URL)})"), ("high-entropy-query", f"len(list_filter({values}, lambda v: octet_length(encode(v)) >= 20 AND {bits} > 4.5)) > 0"), ("tunnel-service", any_of("low", lex.URL_TUNNELS)), ("non-standard-port", f"{port} <> '' AND NOT list_contains({_list(list(lex.URL_SAFE_PORTS))}, {port})")],
+        "medium": [("suspicious-tld", any_of("low", lex.URL_TLDS)), ("encoded-obfuscation", f"regexp_matches(low, {_q(o.ENCODED)})"), ("suspicious-path", any_of("low", lex.URL_PATH_WORDS)), ("long-url", "octet_length(encode(url)) > 200")],
+        "low": [("data-query", any_of("low", lex.URL_QUERY_HINTS))],
+    }
+    found = ", ".join(f"CASE WHEN {c} THEN {_q(k)} END" for xs in kinds.values() for k, c in xs)
+    count = ", ".join(f"CAST(sum(len(list_intersect(kinds, {_list([k for k, _ in xs])}))) AS INT) AS {n}" for n, xs in kinds.items())
+    host = "lower(regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'http://' || url END, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^:/?#]*)', 1))"
+    return f"""WITH {DOCS}, u AS (SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text, {_q(o.URL)}), regexp_extract_all(text, {_q(o.BARE_DOMAIN)}))) AS url FROM docs),
+h AS (SELECT doc_id, url, lower(url) AS low, {host} AS host FROM u), k AS (SELECT doc_id, url, CASE WHEN {known} THEN [] ELSE list_filter([{found}], lambda x: x IS NOT NULL) END AS kinds FROM h),
+r AS (SELECT doc_id, coalesce(string_agg(url, ' ' ORDER BY url) FILTER (len(kinds) > 0), '') AS suspicious, array_to_string(list_sort(list_distinct(flatten(list(kinds)))), ',') AS kinds, {count} FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(suspicious, '') AS suspicious, coalesce(kinds, '') AS kinds, CAST(coalesce(high, 0) AS INT) AS high, CAST(coalesce(medium, 0) AS INT) AS medium, CAST(coalesce(low, 0) AS INT) AS low FROM docs LEFT JOIN r USING (doc_id)"""
+
+
+@query("output_url_risk", _url_risk_sql())
 def output_url_risk(spark, sf_dir):
     found = docs(spark, sf_dir).withColumn("x", output_scan.url_scan(F.col("text")))
     return found.select("doc_id", F.array_join("x.suspicious", " ").alias("suspicious"), F.array_join("x.kinds", ",").alias("kinds"), "x.high", "x.medium", "x.low")
