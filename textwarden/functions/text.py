@@ -73,7 +73,7 @@ def literals(values: Sequence[str]) -> Column:
 
 
 def contains_any(lowered: Column, phrases: Sequence[str]) -> Column:
-    return F.exists(literals(phrases), lambda p: lowered.contains(p))
+    return let(lowered, lambda low: F.exists(literals(phrases), lambda p: low.contains(p)))
 
 
 def count_contains(lowered: Column, phrases: Sequence[str]) -> Column:
@@ -82,7 +82,7 @@ def count_contains(lowered: Column, phrases: Sequence[str]) -> Column:
 
 def found(lowered: Column, phrases: Sequence[str]) -> Column:
     """The phrases that stand in the text."""
-    return F.filter(literals(phrases), lambda p: lowered.contains(p))
+    return let(lowered, lambda low: F.filter(literals(phrases), lambda p: low.contains(p)))
 
 
 def entropy(token: Column) -> Column:

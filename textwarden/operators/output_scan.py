@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lex
 from ..functions.dialect import to_java, to_python
 from ..functions.text import capped, contains_any, count_contains, entropy, found, let, matches, none_of, trimmed
-from .scanners import AWS_CONTEXT, AWS_SECRET, AWS_WINDOW, SECRET_ASSIGNMENT, SECRET_PREFIXES
+from .scanners import AWS_CONTEXT, AWS_SECRET, AWS_WINDOW, SECRET_ASSIGNMENT, SECRET_NAMES, SECRET_PREFIXES
 from .domain import host
 from .scoring import SAFE_REASON, blocked, risk, safe
 
@@ -82,8 +82,7 @@ PII = "struct<types:array<string>,high:int,medium:int,low:int,redacted:string>"
 
 def prompt_leak(text: Column) -> Column:
     """struct(high, medium, low): phrases that give a prompt or its rules away."""
-    low = F.lower(text)
-    return F.struct(*[count_contains(low, p).alias(n) for n, p in (("high", lex.LEAK_HIGH), ("medium", lex.LEAK_MEDIUM), ("low", lex.LEAK_LOW))])
+    return let(F.lower(text), lambda low: F.struct(*[count_contains(low, p).alias(n) for n, p in (("high", lex.LEAK_HIGH), ("medium", lex.LEAK_MEDIUM), ("low", lex.LEAK_LOW))]))
 
 
 def urls_of(text: Column) -> Column:
@@ -201,6 +200,15 @@ _any_prefix = re.compile("|".join(f"(?:{p.pattern})" for p in _prefixes.values()
 TAGS = {"email": "[REDACTED-EMAIL]", "ssn": "[REDACTED-SSN]", "credit-card": "[REDACTED-CREDIT-CARD]", "phone": "[REDACTED-PHONE]", "ip-address": "[REDACTED-IP-ADDRESS]"}
 
 
+#: Runs of the characters of an e-mail, and what such a run must hold: the expression itself takes time by the square of a
+#: long run that holds none.
+EMAIL_RUN, EMAIL_MARK = re.compile(r"[A-Za-z0-9._%+\-@]+"), re.compile(r"@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}")
+
+
+def runs(text: str, run: re.Pattern, mark: re.Pattern):
+    return (m for m in run.finditer(text) if mark.search(text, *m.span()))
+
+
 def _fences(text: str) -> list[tuple[int, int]]:
     marks = [m.start() for m in re.finditer("```", text)]
     return [(a, b + 3) for a, b in zip(marks[::2], marks[1::2], strict=False)] + ([(marks[-1], len(text))] if len(marks) % 2 else [])
@@ -213,11 +221,25 @@ def _ignored(text: str, at: int, fences: list[tuple[int, int]]) -> bool:
     return text[start : len(text) if end < 0 else end].strip().startswith(("//", "#"))
 
 
+#: What an expression needs, as far as it is cheap to tell: it runs only where that stands.
+_key_marks = tuple(x for _, needs in SECRET_PREFIXES.values() for x in needs)
+_three_digits, _dotted_digits = re.compile("[0-9]{3}"), re.compile(r"[0-9]\.[0-9]")
+
+
+def has_key_mark(text: str) -> bool:
+    return any(x in text for x in _key_marks)
+
+
+def has_name_of_secret(text: str) -> bool:
+    low = text.lower().replace("ſ", "s")
+    return any(x in low for x in SECRET_NAMES)
+
+
 def secret_confidence(text: str) -> str:
     """The confidence that scanners.secrets() gives, in Python."""
-    if _any_prefix.search(text) or aws_secrets(text):
+    if has_key_mark(text) and _any_prefix.search(text) or aws_secrets(text):
         return "high"
-    if _assignment.search(text):
+    if has_name_of_secret(text) and _assignment.search(text):
         return "medium"
     for t in text.split():
         if len(t) >= 32 and re.fullmatch(r"[A-Za-z0-9+/_=\-]+", t) and re.search("[0-9]", t):
@@ -228,6 +250,8 @@ def secret_confidence(text: str) -> str:
 
 
 def aws_secrets(text: str) -> list[re.Match]:
+    if not _aws_context.search(text):
+        return []
     return [m for m in _re["aws"].finditer(text) if _aws_context.search(text, max(0, m.start() - AWS_WINDOW), m.end() + AWS_WINDOW)]
 
 
@@ -248,13 +272,16 @@ def find_pii(text: str) -> dict:
                 types.add(kind)
                 counts[confidence] += 1
 
-    take("email", "high", (m for m in _re["email"].finditer(text) if m[0].lower() not in EXAMPLE_EMAILS))
-    take("ssn", "high", (m for m in _re["ssn"].finditer(text) if near(m, SSN_CONTEXT, SSN_WINDOW)))
-    take("credit-card", "high", _re["card"].finditer(text))
-    take("phone", "medium", (m for m in _re["phone"].finditer(text) if near(m, PHONE_CONTEXT, PHONE_WINDOW)))
-    take("ip-address", "medium", _re["private"].finditer(text))
-    octets = lambda s: all(int(x) <= 255 and str(int(x)) == x for x in s.split("."))
-    take("ip-address", "medium", (m for m in _re["public"].finditer(text) if not _re["private"].search(m[0]) and octets(m[0])))
+    if "@" in text:
+        take("email", "high", (m for run in runs(text, EMAIL_RUN, EMAIL_MARK) for m in _re["email"].finditer(text, *run.span()) if m[0].lower() not in EXAMPLE_EMAILS))
+    if _three_digits.search(text):
+        take("ssn", "high", (m for m in _re["ssn"].finditer(text) if near(m, SSN_CONTEXT, SSN_WINDOW)))
+        take("credit-card", "high", _re["card"].finditer(text))
+        take("phone", "medium", (m for m in _re["phone"].finditer(text) if near(m, PHONE_CONTEXT, PHONE_WINDOW)))
+    if _dotted_digits.search(text):
+        take("ip-address", "medium", _re["private"].finditer(text))
+        octets = lambda s: all(int(x) <= 255 and str(int(x)) == x for x in s.split("."))
+        take("ip-address", "medium", (m for m in _re["public"].finditer(text) if not _re["private"].search(m[0]) and octets(m[0])))
     if counts["high"] + counts["medium"] and sum(not _ignored(text, m.start(), fences) for m in _re["name"].finditer(text)) >= 2:
         counts["low"] += 1
         types.add("name-pattern")
@@ -266,7 +293,11 @@ def find_pii(text: str) -> dict:
     redacted = text
     for start, end, kind in sorted(spans, key=lambda s: -s[0]):
         redacted = redacted[:start] + TAGS[kind] + redacted[end:]
-    redacted = _sas.sub("sig=[REDACTED-SAS]", _any_prefix.sub("[REDACTED-API-KEY]", _assignment.sub("[REDACTED-API-KEY]", redacted)))
+    if has_name_of_secret(redacted):
+        redacted = _assignment.sub("[REDACTED-API-KEY]", redacted)
+    if has_key_mark(redacted):
+        redacted = _any_prefix.sub("[REDACTED-API-KEY]", redacted)
+    redacted = _sas.sub("sig=[REDACTED-SAS]", redacted)
     for m in reversed(aws_secrets(redacted)):
         redacted = redacted[: m.start()] + "[REDACTED-AWS-SECRET]" + redacted[m.end() :]
     return {"types": sorted(types), **counts, "redacted": (redacted if redacted.strip() else "[REDACTED]") if types else ""}
