@@ -69,6 +69,23 @@ def empty(spark):
     return table(spark, [])
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from textwarden.llm import common
+
+    none = lambda *_: None
+    cluster = lambda found: SimpleNamespace(conf=SimpleNamespace(get=found), sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=none))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(cluster(none))
+    assert common.shared_dir(cluster(lambda *_: "store://jobs")) == "store://jobs"
+    with common.Scratch(spark) as scratch:
+        kept = common.staged(scratch.table(spark.range(5)).where("id > 2"))
+        path = scratch.paths[0].removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and kept.count() == 2
+
+
 # --- telephony
 
 
