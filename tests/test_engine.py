@@ -414,7 +414,7 @@ def test_evaluation(spark, tmp_path):
         (tmp_path / kind / "notes.txt").write_text("no")
     data = files.read_dataset(spark, str(tmp_path))
     assert data.count() == 4
-    judged = evaluate.classified(plans.assess(data, "content"))
+    judged = evaluate.classified(plans.assess(data, "content")).cache()
     m = evaluate.metrics(judged).first()
     assert (m.true_positives, m.true_negatives, m.false_positives, m.false_negatives, m.accuracy, m.precision, m.recall, m.f1_score) == (1, 1, 1, 1, 0.5, 0.5, 0.5, 0.5)
     assert evaluate.metrics(judged.where("false")).first().accuracy == 0.0

@@ -331,9 +331,12 @@ def style_hidden_flags(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.explode(normalize.styles()(page)).alias("style")).withColumn("hidden", normalize.style_hidden(F.col("style")))
 
 
-@query("zero_width_count", "SELECT page_id, CAST(page_id % 5 AS INT) AS n, page_id % 5 >= 3 AS injected FROM pages")
+_ZERO = " || ".join(f"chr({ord(c)})" for c in normalize.ZERO_WIDTH)
+
+
+@query("zero_width_count", f"WITH p AS (SELECT page_id, coalesce(html, '') || repeat(chr(8203), CAST(page_id % 5 AS INT)) AS html FROM pages), n AS (SELECT page_id, CAST(length(html) - length(translate(html, {_ZERO}, '')) AS INT) AS n FROM p) SELECT page_id, n, n >= 3 AS injected FROM n")
 def zero_width_count(spark, sf_dir):
-    """The zero-width characters of each page and those put behind it; the SQL knows only the latter, as no page of the tables has any."""
+    """The zero-width characters of each page and those put behind it."""
     text = F.concat(F.coalesce("html", F.lit("")), F.expr("repeat('\\u200b', cast(page_id % 5 AS int))"))
     found = _read(spark, sf_dir, "pages").select("page_id", normalize.zero_width_count(text).cast("int").alias("n"))
     return found.withColumn("injected", F.col("n") >= 3)
@@ -351,11 +354,11 @@ def rot_family_scan(spark, sf_dir):
 
 
 def _picked(spark, sf_dir):
-    """Each document's whole text and the token chosen for it; the SQL knows only the latter, as no text of the tables is one."""
+    """Each document's whole text and the token chosen for it."""
     return _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.coalesce("text", F.lit("")), _pick(ENCODED, "doc_id"))).alias("token"))
 
 
-_PICKED = f"e AS (SELECT doc_id, ({_list(ENCODED)})[doc_id % {len(ENCODED)} + 1] AS token FROM documents)"
+_PICKED = f"e AS (SELECT doc_id, unnest([coalesce(text, ''), ({_list(ENCODED)})[doc_id % {len(ENCODED)} + 1]]) AS token FROM documents)"
 
 
 @query("base64_decode_scan", f"WITH {_PICKED} SELECT doc_id, token, decode(from_base64(token)) AS decoded FROM e WHERE length(token) % 4 = 0 AND regexp_matches(token, '^[A-Za-z0-9+/]+={{0,2}}$') AND NOT regexp_matches(token, '^[0-9a-f]+$')")
