@@ -302,6 +302,9 @@ def test_components(spark, monkeypatch, chunk):
 def test_near_duplicates(spark, monkeypatch, small):
     monkeypatch.setattr(op3, "SMALL_BUCKET", small)
     monkeypatch.setattr(op3, "BLOCK", 4)
+    if small == 2:  # all joins as beyond the broadcasts, with hot keys
+        monkeypatch.setattr(op3, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(op3, "HOT_ROWS", 3)
     r = random.Random(9)
     base = [f"w{r.randrange(500)}" for _ in range(120)]
     rows = [(-1, None), (-2, ""), (-3, "..."), (100, "one two"), (101, "One, two!"), (102, "one three")]

@@ -24,6 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 COMPONENTS, BANDS = 96, 24
 #: Rows of (id, id) that are broadcast; more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
+#: Rows from which a key is hot, and hot keys that are broadcast at most.
+HOT_ROWS, HOT_KEYS = 500, 100_000
 #: Members up to which a bucket's unlinked members are compared pair by pair; larger buckets are in blocks.
 SMALL_BUCKET = 32
 #: Rows and bytes of a block of queries or of members, and blocks of queries that a round compares with all members.
@@ -316,6 +318,18 @@ def _renamed(ids: DataFrame, col: str, label: DataFrame) -> DataFrame:
     return ids.join(names, col, "left").withColumn(col, F.coalesce("_class", col)).drop("_class")
 
 
+def _met(rows: DataFrame, keyed: DataFrame, on: str, rest: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keyed``, a staged table of one row a key with the number ``n`` of the key's rows.
+
+    The keys of the most rows are broadcast, at most HOT_KEYS of them, and their rows stay where they are; the others,
+    of few rows each, are joined by a shuffle (``rest``: inner, or left where rows without a key stay)."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_ROWS, total // HOT_KEYS + 1)
+    hot = F.broadcast(keyed.where(F.col("n") >= least))
+    cold = rows.join(hot.select(on), on, "left_anti").join(keyed.where(F.col("n") < least), on, rest)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(d, class) of each non-null ``key`` whose row has words; see near_duplicates().
 
@@ -330,7 +344,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         nodes = signed.groupBy("content").agg(F.min("d").alias("d"), F.first("bands").alias("bands"))
         member = nodes.select("d", F.explode("bands").alias("k"))
         bucket = member.groupBy("k").agg(F.min("d").alias("p"), F.min_by("d", F.xxhash64("d")).alias("q"), F.count("*").alias("n")).where("n > 1")
-        member = scratch.table(member.join(bucket, "k"))
+        member = scratch.table(_met(member, scratch.table(bucket), "k"))
         pivot = scratch.table(member.groupBy("d").agg(F.min("p").alias("p"), F.min("q").alias("q")))
         ids = pivot.select("d")
         held = scratch.table(map_rows(rows.join(F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids, "d", "left_semi"), _bags_of, _BAGS))
@@ -342,8 +356,8 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         label = components(scratch.table(map_rows(full, _verify(threshold), "a bigint, b bigint")), scratch)
 
         here = _renamed(member.select("k", "d", "n", F.col("d").alias("c")), "c", label)
-        open_ = here.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
-        here = scratch.table(here.join(open_, "k"))
+        open_ = here.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.first("n").alias("n")).where("low < high").select("k", "n")
+        here = scratch.table(_met(here.drop("n"), scratch.table(open_), "k"))
         small = here.where(F.col("n") <= SMALL_BUCKET)
         other = small.select("k", F.col("d").alias("e"), F.col("c").alias("f"))
         pairs = small.join(other, "k").where("d < e AND c <> f").groupBy("d", "e").agg(F.first("c").alias("c"), F.first("f").alias("f"))
@@ -353,9 +367,9 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
         if not many.isEmpty():
             links += _closed(many, held, threshold, scratch)
         links = [x for x in links if not x.isEmpty()]
-        node = signed.groupBy("content").agg(F.min("d").alias("node"), F.count("*").alias("n")).where("n > 1").select("content", "node")
-        node = scratch.table(node)
-        named = signed.select("d", "content").join(F.broadcast(node) if few(node, BROADCAST_IDS) else node, "content", "left")
+        node = scratch.table(signed.groupBy("content").agg(F.min("d").alias("node"), F.count("*").alias("n")).where("n > 1"))
+        copies = signed.select("d", "content")
+        named = copies.join(F.broadcast(node), "content", "left") if few(node, BROADCAST_IDS) else _met(copies, node, "content", "left")
         named = _renamed(named.select("d", F.coalesce("node", "d").alias("class")), "class", label)
         if links:
             found = links[0]
