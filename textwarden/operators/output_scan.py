@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 from math import log2
-from operator import add
 
 import pandas as pd
 from pyspark.sql import Column
