@@ -61,7 +61,8 @@ def average_word_bytes(text: Column) -> Column:
 def shouts(text: Column) -> Column:
     """Whether all_caps_run() is 3 or more."""
     letters = F.regexp_replace(F.regexp_replace(text, rf"[^\p{{L}}{WHITE}]+", ""), f"[{WHITE}]+", " ")
-    return text.rlike(r"\p{Lu}") & letters.rlike(r"(?:\A| )\p{Lu}{2,} \p{Lu}{2,} \p{Lu}{2,}(?: |\z)")
+    may = text.rlike(r"\p{Lu}") & letters.rlike(r"(?:\A| )\p{Lu}{2,} \p{Lu}{2,} \p{Lu}{2,}(?: |\z)")
+    return may & (all_caps_run(text) >= 3)
 
 
 def has_long_field(text: Column, octets: int = 40) -> Column:
