@@ -92,7 +92,7 @@ def test_context_scores_of_workers_are_those_of_the_columns(spark):
         assert a == b or a is None
 
 
-def test_code_is_looked_for_where_the_text_has_its_strings(spark):
+def test_code_is_looked_for_where_its_first_characters_stand(spark):
     texts = [*ODD, *PHRASES, " $ ls", "$5", "import x", "Import x", "def f(", "class A", "print(", "function f(", "const a =", "let b=", "require(", "package p", "func g(", "import (", "CURL x", "#!/bin/bash", "wget", "cHmod", "curly"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     plain = [output_scan.matches(F.col("text"), r) for r in output_scan.INLINE_CODE]
